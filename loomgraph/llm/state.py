@@ -8,21 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut, so that a lost executor costs no recomputation.
-
-    The folder is the session's spark.checkpoint.dir. Where that is unset a folder of this machine serves, in local
-    mode only.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: spark.checkpoint.dir, or, where that is unset and in local mode only, a new one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
         if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
         sc.setCheckpointDir(folder)
+        current = sc._jsc.sc().getCheckpointDir()
+    return folder or current.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, its lineage cut, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
