@@ -102,7 +102,8 @@ class Bpe:
         if found[0] == len(head) + first == meet and len(text[:meet].encode()) > LEAF_BYTES:
             middle = self.join(left.tokens[len(before) :], right.tokens[: len(right.tokens) - len(after)])
         else:
-            middle = self.encode(text[:meet])
+            cuts = [0, *(e for e in found if e <= meet)]
+            middle = [t for s, e in zip(cuts, cuts[1:]) for t in self.tree(text[s:e].encode())]
         return Piece(left.text + right.text, before + middle + after)
 
 
