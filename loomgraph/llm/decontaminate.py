@@ -6,8 +6,8 @@ blocks: two fingerprints within RADIUS agree in some block, by pigeonhole, so th
 within RADIUS. What is found there is verified by the weighted Jaccard similarity of the shingle multisets.
 
 Before a window is fingerprinted it is tested against a bound that loses nothing: a similarity of at least
-MIN_SIMILARITY needs so much shingle weight in common that the window must hold a certain number of shingles of the
-benchmark. Prefix sums give that number for all windows of a text at once.
+MIN_SIMILARITY with an item needs so much shingle weight in common that the window must hold a certain number of the
+item's shingles, heaviest first. An inverted index of the items' shingles gives the places of all of them in a text.
 """
 
 from __future__ import annotations
@@ -65,15 +65,15 @@ def similarity(h: np.ndarray, w: np.ndarray, other: dict[int, int], weights: dic
 
 
 class Index:
-    """The items of a benchmark: by number of words, their fingerprints in blocks, their shingles, and the bound."""
+    """The items of a benchmark: their fingerprints in blocks by number of words, and their shingles with the bound."""
 
     def __init__(self, items: list[tuple[int, str]]):
         cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
         self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(cuts[:-1], cuts[1:])]
         self.items: list[tuple[int, int, dict, dict]] = []
         self.buckets: dict[tuple[int, int, int], list[int]] = {}
-        self.need: dict[int, int] = {}
-        known: list[np.ndarray] = []
+        sizes, least = [], []
+        known: dict[int, list] = {k: [] for k in range(1, SHINGLE + 1)}
         data, offsets = lowered(pa.array([t for _, t in items], pa.large_string()))
         start, end, h = words_of(data, offsets)
         cut = np.searchsorted(start, offsets)
@@ -88,38 +88,57 @@ class Index:
             for k, (shift, mask) in enumerate(self.blocks):
                 self.buckets.setdefault((size, k, (fp >> shift) & mask), []).append(at)
             heaviest = np.cumsum(np.sort(w)[::-1])
-            least = int(np.searchsorted(heaviest, MIN_SIMILARITY * w.sum() - 1e-9)) + 1
-            self.need[size] = min(self.need.get(size, least), least)
-            known.append(values)
-        self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
-        self.filter = np.zeros(1 << 22, dtype=bool)
-        self.filter[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        maybe = self.filter[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
-        at = np.flatnonzero(maybe)
-        if len(at):
-            x = h[at]
-            p = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
-            maybe[at] = self.known[p] == x
-        return maybe
-
-    def search(self, h: np.ndarray, length: np.ndarray, hit: np.ndarray) -> list[tuple]:
+            sizes.append(size)
+            least.append(int(np.searchsorted(heaviest, MIN_SIMILARITY * w.sum() - 1e-9)) + 1)
+            known[min(SHINGLE, size)].append((values, np.full(len(values), at)))
+        self.size, self.least = np.array(sizes, np.int64), np.array(least, np.int64)
+        #: by shingle length: a filter, the sorted shingles, and the items of each as a CSR list
+        self.known: dict[int, tuple] = {}
+        for k, parts in known.items():
+            if parts:
+                values, owner = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(values, kind="stable")
+                distinct, first = np.unique(values[order], return_index=True)
+                filter_ = np.zeros(1 << 22, dtype=bool)
+                filter_[(distinct & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+                self.known[k] = (filter_, distinct, np.append(first, len(order)), owner[order])
+
+    def hits(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, index of the shingle) of the shingles of length k that some item has."""
+        filter_, distinct, _, _ = self.known[k]
+        sh = shingles(h, k)
+        at = np.flatnonzero(filter_[(sh & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        p = np.minimum(np.searchsorted(distinct, sh[at]), len(distinct) - 1)
+        ok = distinct[p] == sh[at]
+        return at[ok], p[ok]
+
+    def windows(self, k: int, at: np.ndarray, shingle: np.ndarray, words: int) -> dict[int, set[int]]:
+        """By size the first words of the windows of a text that hold as many shingles of one item as its bound asks."""
+        _, _, first, owner = self.known[k]
+        n = first[shingle + 1] - first[shingle]
+        item = owner[np.repeat(first[shingle] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        place = np.repeat(at, n)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        out: dict[int, set[int]] = {}
+        edge = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1], [True]))) if len(item) else []
+        for s, e in zip(edge[:-1], edge[1:]):
+            i = int(item[s])
+            need, size = int(self.least[i]), int(self.size[i])
+            if e - s < need:
+                continue
+            span = min(size, words) - k + 1  # shingles of a window
+            p = place[s:e]
+            lo, hi = p[need - 1 :] - span + 1, p[: len(p) - need + 1]
+            for a, b in zip(np.maximum(lo, 0).tolist(), np.minimum(hi, max(0, words - size)).tolist()):
+                out.setdefault(size, set()).update(range(a, b + 1))
+        return out
+
+    def search(self, h: np.ndarray, length: np.ndarray, windows: dict[int, set[int]]) -> list[tuple]:
         """(item, first word, words, distance, similarity): the best window for each item, the earliest of equal ones."""
         best: dict[int, tuple] = {}
-        total = np.concatenate(([0], np.cumsum(hit)))
-        where = np.flatnonzero(hit)
-        for size, need in self.need.items():
-            if total[-1] < need:
-                continue
-            span = min(size, len(h)) - min(SHINGLE, size, len(h)) + 1
-            if size < SHINGLE:  # its one shingle is no run of SHINGLE words
-                starts = np.arange(max(1, len(h) - size + 1))
-            else:
-                starts = np.unique((where[:, None] - np.arange(span)[None, :]).ravel()) if len(where) * span < len(h) else np.arange(len(h))
-                starts = starts[(starts >= 0) & (starts <= max(0, len(h) - size))]
-                starts = starts[total[np.minimum(starts + span, len(hit))] - total[starts] >= need]
-            for s in starts.tolist():
+        for size, starts in windows.items():
+            for s in sorted(starts):
                 sh, w = weighted_shingles(h[s : s + size], length[s : s + size])
                 fp = simhash(sh, w)
                 found = {i for k, (shift, mask) in enumerate(self.blocks) for i in self.buckets.get((size, k, (fp >> shift) & mask), ())}
@@ -136,24 +155,27 @@ def _one_pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
-        short = any(n < SHINGLE for n in index.need)
         for whole in batches:
             out: list[tuple] = []
             for b in slices(whole, "text") if index.items else ():
                 data, offsets = lowered(b.column("text"))
                 start, end, h = words_of(data, offsets)
                 cut = np.searchsorted(start, offsets)
-                hit = index.hits(shingles(h, SHINGLE))
-                hit = np.concatenate((hit, np.zeros(len(h) - len(hit), dtype=bool)))
-                rows = range(b.num_rows) if short else np.unique(rows_of(start[hit], offsets))
                 ids = b.column("doc_id")
-                for r in (int(x) for x in rows):
+                wanted: dict[int, dict[int, set[int]]] = {}
+                for k in index.known:
+                    at, shingle = index.hits(h, k)
+                    row = rows_of(start[at], offsets)
+                    inside = at + k <= cut[row + 1]  # not those that run into the next text
+                    at, shingle, row = at[inside], shingle[inside], row[inside]
+                    edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else []
+                    for s, e in zip(edge[:-1], edge[1:]):
+                        r = int(row[s])
+                        for size, starts in index.windows(k, at[s:e] - cut[r], shingle[s:e], int(cut[r + 1] - cut[r])).items():
+                            wanted.setdefault(r, {}).setdefault(size, set()).update(starts)
+                for r, windows in wanted.items():
                     s, e = int(cut[r]), int(cut[r + 1])
-                    if e > s:
-                        inside = hit[s:e].copy()
-                        inside[max(0, e - s - SHINGLE + 1) :] = False  # shingles that run into the next text
-                        if short or inside.any():
-                            out += [(ids[r].as_py(), *x) for x in index.search(h[s:e], (end - start)[s:e], inside)]
+                    out += [(ids[r].as_py(), *x) for x in index.search(h[s:e], (end - start)[s:e], windows)]
             cols = list(zip(*out)) if out else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"])
