@@ -191,10 +191,10 @@ def delete_where(t, c):
     return A.delete(t, p=LABEL).agg(F.count("*").alias("n"))
 
 
-@query(f"select s, o from triples where p = '{NOTE}' and not contains(o, 'STEEL') union all select s, 'steel' from triples where p = '{NOTE}' and contains(o, 'STEEL')")
+@query(f"select s, o from triples where p = '{NOTE}' and not contains(o, 'PROMO') union all select s, 'promo' from triples where p = '{NOTE}' and contains(o, 'PROMO')")
 def upsert_note(t, c):
     notes = t.where(F.col("p") == NOTE).select("s", "p", "o")
-    fresh = notes.where(F.col("o").contains("STEEL")).withColumn("o", F.lit("steel"))
+    fresh = notes.where(F.col("o").contains("PROMO")).withColumn("o", F.lit("promo"))
     return A.upsert(notes, fresh).select("s", "o")
 
 
@@ -292,9 +292,9 @@ def repository_rollup(t, c):
 
 
 
-@query(f"select t.s as s, coalesce(l.o, 'Unknown') as name, lower(regexp_replace(t.o, '.*#', '')) as kind, 'Unknown' as repository, 0 as line, 0.5::double as confidence from triples t left join triples l on l.s = t.s and l.p = '{LABEL}' left join triples n on n.s = t.s and n.p = '{NOTE}' where t.p = '{TYPE}' and (regexp_matches(l.o, '(?i){flexible_pattern('steel')}') or regexp_matches(n.o, '(?i){flexible_pattern('steel')}')) order by 1 limit 50")
+@query(f"select t.s as s, coalesce(l.o, 'Unknown') as name, lower(regexp_replace(t.o, '.*#', '')) as kind, 'Unknown' as repository, 0 as line, 0.5::double as confidence from triples t left join triples l on l.s = t.s and l.p = '{LABEL}' left join triples n on n.s = t.s and n.p = '{NOTE}' where t.p = '{TYPE}' and (regexp_matches(l.o, '(?i){flexible_pattern('red widgets')}') or regexp_matches(n.o, '(?i){flexible_pattern('red widgets')}')) order by 1 limit 50")
 def search_flexible(t, c):
-    return C.search(t, c, "steel")
+    return C.search(t, c, "red widgets")
 
 
 @query(
