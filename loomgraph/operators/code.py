@@ -100,13 +100,17 @@ def constructs(files: DataFrame) -> DataFrame:
     for family, patterns in PATTERNS.items():
         exts = [e for e, f in FAMILY.items() if f == family]
         here = rows.where(F.col("extension").isin(*exts))
-        found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), 0), lambda raw, k=kind, p=p: _construct(raw, k, p)) for kind, p in patterns)))
+        found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), 0), _reader(kind, p)) for kind, p in patterns)))
         x = F.col("x")
         line = F.size(F.split(F.expr("substring(text, 1, locate(x.raw, text))"), "\n"))
         out = out.union(here.select("repository", "path", "text", F.explode(found).alias("x")).select("repository", "path", x["kind"], x["name"], F.lit(None).cast("string"), line, line + F.size(F.split(x["raw"], "\n")) - 1, x["raw"], x["type"], x["items"]))
     return out
 
 
+def _reader(kind: str, pattern: str):
+    return lambda raw: _construct(raw, kind, pattern)
+
+
 def _construct(raw: Column, kind: str, pattern: str) -> Column:
     """A struct of what the named groups of a pattern find in a declaration."""
     import re

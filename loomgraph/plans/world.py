@@ -78,16 +78,18 @@ def _ontology() -> list[tuple]:
 
 
 def triples(spark: SparkSession, sf_dir: str, ontology: bool = True) -> DataFrame:
-    """The graph, with its ontology in it. No two rows are equal, so none need be dropped."""
-    tables: dict[str, DataFrame] = {}
-    out = None
-    for name, s, p, o, kind, data in MAPPING:
-        df = tables.setdefault(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        part = df.select(F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"), F.lit(kind).alias("o_kind"), F.lit(data).cast("string").alias("o_type"))
-        out = part if out is None else out.union(part)
+    """The graph, with its ontology in it. No two rows are equal, so none need be dropped.
+
+    One statement of projections with constant predicates: a filter on the predicate leaves only the scans that matter,
+    with only their columns.
+    """
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in dict.fromkeys(m[0] for m in MAPPING)}
+    null = "cast(null as string)"
+    parts = [f"select {s} as s, '{p}' as p, {o} as o, '{kind}' as o_kind, {f"'{data}'" if data else null} as o_type from {{{name}}}" for name, s, p, o, kind, data in MAPPING]
     if ontology:
-        out = out.union(spark.createDataFrame(_ontology(), "s string, p string, o string, o_kind string, o_type string"))
-    return typed(out, distinct=False)
+        rows = ", ".join(f"('{s}', '{p}', '{o}', '{kind}', {null})" for s, p, o, kind, _ in _ontology())
+        parts.append(f"select * from values {rows} as t(s, p, o, o_kind, o_type)")
+    return typed(spark.sql(" union all ".join(parts), **tables), distinct=False)
 
 
 def hierarchy(spark: SparkSession) -> DataFrame:
