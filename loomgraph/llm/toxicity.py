@@ -28,7 +28,7 @@ LEXICON = {
     "insult": "idiot idiots moron morons loser losers clown clowns scum trash stupid pathetic worthless disgusting imbecile imbeciles cretin dimwit dumb dumbass fool freak creep pig swine vermin lowlife scumbag halfwit nitwit retard retarded coward liar garbage ugly "
     "idiote idiotes imbécile crétin débile abruti connard connasse salope ordure dégueulasse idiotin dummkopf trottel arschloch depp schwachkopf abschaum drecksau idiota idiotas estúpido estúpida imbécil tonto basura escoria asqueroso asquerosa gilipollas",
     "profanity": "fuck fucking fucked fucker shit shitty bullshit crap bitch bitches bastard bastards asshole assholes ass damn damned dick prick cunt piss pissed whore slut putain merde bordel scheiße scheisse verdammt mierda joder puta cabrón coño",
-    "threat": "kill killed die hang strangle stab shoot murder slaughter destroy exterminate eradicate rape burn beat smash despise loathe tuer crever töten umbringen sterben matar morir",
+    "threat": "kill killed strangle stab shoot murder slaughter destroy exterminate eradicate rape smash despise loathe tuer crever töten umbringen sterben matar morir",
 }
 SECOND_PERSON = "you your yours yourself yourselves ya u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer tú ti tus usted ustedes vosotros vuestro"
 FEATURES = [*(f"{c}_density" for c in LEXICON), "any_hits_log", "local_hits", "second_person_density", "hits_near_you", "nearness", "capital_share", "capital_words", "exclamations", "questions", "repeated_marks", "other_marks", "obfuscated_density", "spelled_density", "mixed_words", "words_log", "word_length"]
