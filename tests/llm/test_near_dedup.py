@@ -11,13 +11,14 @@ WORDS = [f"{a}{b}{c}" for a in ("al", "be", "co", "du", "em", "fi") for b in ("r
 
 def make_docs(seed=1):
     rng = random.Random(seed)
-    base = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(60, 200))) for _ in range(40)]
+    word = lambda: rng.choice(WORDS) + rng.choice(WORDS)
+    base = [" ".join(word() for _ in range(rng.randint(60, 200))) for _ in range(40)]
     docs = list(base)
     for t in base[:15]:
         for _ in range(3):
             w = t.split()
             for i in rng.sample(range(len(w)), len(w) // 30):
-                w[i] = rng.choice(WORDS)
+                w[i] = word()
             docs.append(" ".join(w))
     docs += base[:5]
     return [(i, t) for i, t in enumerate(docs)]
