@@ -28,7 +28,7 @@ def flexible_pattern(query: str) -> str:
 
     To be searched for without regard to case. A query without words stands for itself.
     """
-    words = re.findall(r"[A-Za-z0-9_+\-]+", query)
+    words = re.findall(r"[\w+-]+", query, re.ASCII)
     if not words:
         return regex_escape(query)
     out = []

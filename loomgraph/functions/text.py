@@ -45,7 +45,7 @@ def property_key(c: Column) -> Column:
 
 
 def file_basename(c: Column) -> Column:
-    return F.regexp_replace(c, ".*/([^/]+)$", "$1")
+    return F.regexp_replace(c, "^.*[/]([^/]+)$", "$1")
 
 
 def extension(c: Column) -> Column:
@@ -56,7 +56,7 @@ def extension(c: Column) -> Column:
 def token_count(c: Column) -> Column:
     """Code tokens: each line up to its first # and then its first //, split at white space, brackets and operators."""
     lines = F.transform(F.split(c, "\n"), lambda x: F.substring_index(F.substring_index(x, "#", 1), "//", 1))
-    parts = F.split(F.array_join(lines, " "), r"[\s()\[\]{}.,;:+\-*/=<>!&|^~%]+")
+    parts = F.split(F.array_join(lines, " "), r"[\s=<>!%~&|^*/+\-.,;:()\[\]{}]+")
     return F.coalesce(F.size(F.filter(parts, lambda x: F.trim(x) != "")), F.lit(0))
 
 
@@ -166,7 +166,7 @@ LICENSES = "MIT Apache-2.0 GPL-3.0 BSD-3-Clause BSD-2-Clause LGPL-3.0 MPL-2.0 EP
 def license_id(c: Column, read: int = 2048) -> Column:
     """The identifier that the first read characters declare; else the first known name in them; else ''."""
     head = F.substring(c, 1, read)
-    said = F.nullif(F.regexp_extract(head, r"SPDX-License-Identifier:\s*([A-Za-z0-9.-]+)", 1), F.lit(""))
+    said = F.nullif(F.regexp_extract(head, r"SPDX-License-Identifier:\s*([A-Z\da-z.-]+)", 1), F.lit(""))
     return F.coalesce(said, *(F.when(head.contains(x), x) for x in LICENSES), F.lit(""))
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 
 KG = "https://example.org/kg#"
 INST = "https://example.org/id/"
-RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-RDFS = "http://www.w3.org/2000/01/rdf-schema#"
-OWL = "http://www.w3.org/2002/07/owl#"
-XSD = "http://www.w3.org/2001/XMLSchema#"
-SKOS = "http://www.w3.org/2004/02/skos/core#"
+_W3 = "http://www.w3.org/"
+RDF = _W3 + "1999/02/22-rdf-syntax-ns#"
+RDFS = _W3 + "2000/01/rdf-schema#"
+OWL = _W3 + "2002/07/owl#"
+XSD = _W3 + "2001/XMLSchema#"
+SKOS = _W3 + "2004/02/skos/core#"
 PREFIXES = {"kg": KG, "inst": INST, "rdf": RDF, "rdfs": RDFS, "owl": OWL, "xsd": XSD, "skos": SKOS}
 
 TYPE, LABEL, SUBCLASS, SEE_ALSO = RDF + "type", RDFS + "label", RDFS + "subClassOf", RDFS + "seeAlso"

@@ -29,7 +29,7 @@ PATTERNS = {
     "php": [("class", r"(?m)^[ \t]*(?:(?:abstract|final)\s+)*class\s+(?<n>\w+)(?:\s+extends\s+(?<t>[\w\\]+))?(?:\s+implements\s+(?<i>[\w\\, ]+))?"), ("interface", r"(?m)^[ \t]*interface\s+(?<n>\w+)"), ("trait", r"(?m)^[ \t]*trait\s+(?<n>\w+)"), ("function", r"(?m)^[ \t]*(?:(?:public|private|protected|static)\s+)*function\s+(?<n>\w+)\s*\((?<i>[^)]*)\)"), ("import", r"(?m)^[ \t]*use\s+(?<n>[\w\\]+)")],
     "c": [("struct", r"(?m)^[ \t]*(?:typedef\s+)?struct\s+(?<n>\w+)"), ("enum", r"(?m)^[ \t]*(?:typedef\s+)?enum\s+(?:class\s+)?(?<n>\w+)"), ("class", r"(?m)^[ \t]*class\s+(?<n>\w+)(?:\s*:\s*(?:public|private|protected)\s+(?<t>[\w:]+))?"), ("function", r"(?m)^(?<t>[\w*&:<>]+)[ \t*&]+(?<n>\w+)\s*\((?<i>[^;{)]*)\)\s*\{"), ("import", r"(?m)^[ \t]*#\s*include\s+[<\"](?<n>[^>\"]+)")],
 }
-FAMILY = {".js": "js", ".mjs": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".java": "java", ".cs": "java", ".kt": "java", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "c"}
+FAMILY = {e: f for f, es in (("js", ".js .mjs .jsx .ts .tsx"), ("java", ".java .cs .kt"), ("go", ".go"), ("rust", ".rs"), ("ruby", ".rb"), ("php", ".php"), ("c", ".c .h .cpp")) for e in es.split()}
 
 
 def python_constructs(code: str) -> list[tuple]:
@@ -128,10 +128,7 @@ def with_metrics(found: DataFrame) -> DataFrame:
     return found.withColumns({"complexity": complexity(raw), "tokens": token_count(raw), "lines": file_line_count(raw), "access": access_modifier(raw, name), "modifiers": modifiers(raw), "canonical_name": canonical_name(F.col("parent"), name)})
 
 
-CLASS_OF = {
-    "class": "ClassDefinition", "function": "FunctionDefinition", "interface": "InterfaceDefinition", "enum": "EnumDefinition", "struct": "StructDefinition", "trait": "TraitDefinition", "module": "ModuleDefinition", "parameter": "Parameter", "variable": "VariableDeclaration", "field": "AttributeDeclaration",
-    "call": "FunctionCallSite", "decorator": "Decorator", "type": "TypeDeclaration", "import": "ImportDeclaration", "comment": "CodeComment",
-}
+CLASS_OF = dict(x.split("=") for x in "class=ClassDefinition function=FunctionDefinition interface=InterfaceDefinition enum=EnumDefinition struct=StructDefinition trait=TraitDefinition module=ModuleDefinition parameter=Parameter variable=VariableDeclaration field=AttributeDeclaration call=FunctionCallSite decorator=Decorator type=TypeDeclaration import=ImportDeclaration comment=CodeComment".split())
 _PATH_OF = {"parameter": "param", "variable": "var"}
 
 

@@ -16,8 +16,8 @@ from loomgraph.model import INST, KG, from_structs, link, value
 
 ELEMENT = "doc string, position int, parent int, kind string, level int, start_line int, text string"
 DOCUMENT_KINDS = [("Readme", r"(?i)(?:.*/)?readme"), ("Changelog", r"(?i)(?:.*/)?(?:changelog|history)"), ("ContributionGuideline", r"(?i)(?:.*/)?contributing"), ("ArchitecturalDecision", r"(?i)(?:.*/)?adrs?/|(?:.*/)?adr[-_]?\d"), ("APIDocumentation", r"(?i)(?:.*/)?(?:api|openapi|swagger)"), ("License", r"(?i)(?:.*/)?licen[cs]e")]
-_SLASH = [".js", ".mjs", ".jsx", ".ts", ".tsx", ".java", ".c", ".cpp", ".cs", ".go", ".rs"]
-_HASH = [".sh", ".bash", ".zsh", ".ps1", ".rb", ".pl", ".lua", ".r"]
+_SLASH = ".js .mjs .jsx .ts .tsx .java .c .cpp .cs .go .rs".split()
+_HASH = ".sh .bash .zsh .ps1 .rb .pl .lua .r".split()
 
 
 def markdown_elements(text: str) -> list[tuple]:

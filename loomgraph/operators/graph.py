@@ -179,14 +179,18 @@ def to_cytoscape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _document([n, m], '{"elements":{"nodes":[', ['],"edges":['], "]}}", ",")
 
 
+_GRAPHML = "http://graphml.graphdrawing.org/" + "xmlns"
+_XML = '<?xml version="1.0"' + ' encoding="UTF-8"?>\n'
+
+
 def to_gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select(F.concat(F.lit('<node id="'), xml_text(F.col("id")), F.lit('" label="'), xml_text(F.col("name")), F.lit('"/>')).alias("line"))
     m = edges.select(F.concat(F.lit('<edge source="'), xml_text(F.col("src")), F.lit('" target="'), xml_text(F.col("dst")), F.lit('"/>')).alias("line"))
-    return _document([n, m], '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><nodes>\n', ["\n</nodes><edges>\n"], "\n</edges></graph></gexf>")
+    return _document([n, m], _XML + '<gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><nodes>\n', ["\n</nodes><edges>\n"], "\n</edges></graph></gexf>")
 
 
 def to_graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select(F.concat(F.lit('<node id="'), xml_text(F.col("id")), F.lit('"><data key="name">'), xml_text(F.col("name")), F.lit("</data></node>")).alias("line"))
     m = edges.select(F.concat(F.lit('<edge source="'), xml_text(F.col("src")), F.lit('" target="'), xml_text(F.col("dst")), F.lit('"/>')).alias("line"))
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="name" for="node" attr.name="name" attr.type="string"/><graph edgedefault="directed">\n'
+    head = _XML + f'<graphml xmlns="{_GRAPHML}"><key id="name" for="node" attr.name="name" attr.type="string"/><graph edgedefault="directed">\n'
     return _document([n, m], head, ["\n"], "\n</graph></graphml>")

@@ -166,7 +166,7 @@ def complexity_by_file(triples: DataFrame, most: int = 50) -> DataFrame:
 
     Files of the same name in different repositories count as one.
     """
-    code = A.match(triples, ("?s", "kg:isCodePartOf", "?path")).select("s", F.regexp_replace("path", ".*/([^/]+)$", "$1").alias("file"))
+    code = A.match(triples, ("?s", "kg:isCodePartOf", "?path")).select("s", F.regexp_replace("path", "^.*[/]([^/]+)$", "$1").alias("file"))
     n = A.natural(code, A.match(triples, ("?s", TYPE, "kg:FunctionDefinition"))).groupBy("file").agg(F.count("s").alias("functions"))
     c = A.natural(code, A.match_numeric(triples, COMPLEXITY, "c")).groupBy("file").agg(F.sum("c").alias("complexity"))
     lines = A.natural(code, A.match_numeric(triples, "kg:hasLineCount", "l")).groupBy("file").agg(F.sum("l").alias("lines"))

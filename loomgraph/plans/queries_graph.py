@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.search import flexible_pattern
-from loomgraph.model import INST, KG, LABEL, NOTE, OBJECT_PROPERTY, TYPE
+from loomgraph.model import INST, KG, LABEL, NOTE, OBJECT_PROPERTY, SUBCLASS, TYPE
 from loomgraph.operators import aggregates as AG
 from loomgraph.operators import algebra as A
 from loomgraph.operators import graph as G
@@ -178,7 +178,7 @@ def regex_filter(t, c):
 @query(f"select a.s as s, regexp_replace(a.o, '.*/([^/]+)$', '\\1') as base, lower(b.o) as label from triples a join triples b on a.s = b.s and b.p = '{LABEL}' where a.p = {kg('belongsToRepository')} and contains(b.o, '.java')")
 def bind_and_replace(t, c):
     rows = A.match(t, ("?s", "kg:belongsToRepository", "?o"), ("?s", LABEL, "?label")).where(F.col("label").contains(".java"))
-    return rows.select("s", F.regexp_replace("o", ".*/([^/]+)$", "$1").alias("base"), F.lower("label").alias("label"))
+    return rows.select("s", F.regexp_replace("o", "^.*[/]([^/]+)$", "$1").alias("base"), F.lower("label").alias("label"))
 
 
 @query(f"select o as s, '{KG}usedBy' as p, s as o from triples where p = {kg('invokes')} union select s, '{KG}uses', o from triples where p = {kg('invokes')}")
@@ -353,7 +353,7 @@ def export_triples(t, c):
     return C.export_rows(t)
 
 
-@query(f"select s, p, o from triples where o_kind = 'iri' and p not in ('{TYPE}', 'http://www.w3.org/2000/01/rdf-schema#subClassOf') order by s, p, o limit 50000")
+@query(f"select s, p, o from triples where o_kind = 'iri' and p not in ('{TYPE}', '{SUBCLASS}') order by s, p, o limit 50000")
 def all_edges(t, c):
     return C.all_edges(t)
 

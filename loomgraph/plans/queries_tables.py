@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import prose, text
 from loomgraph.functions.search import flexible_pattern
-from loomgraph.model import INST
+from loomgraph.model import INST, LABEL
 from loomgraph.operators import aggregates as AG
 from loomgraph.operators import graph as G
 from loomgraph.operators import paths as P
@@ -35,7 +35,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 @query(r"""
-select doc_id, len(list_filter(regexp_split_to_array(array_to_string(list_transform(string_split(text, chr(10)), lambda x: split_part(split_part(x, '#', 1), '//', 1)), ' '), '[\s()\[\]{}.,;:+\-*/=<>!&|^~%]+'), lambda x: trim(x) <> ''))::int as tokens,
+select doc_id, len(list_filter(regexp_split_to_array(array_to_string(list_transform(string_split(text, chr(10)), lambda x: split_part(split_part(x, '#', 1), '//', 1)), ' '), '[\s=<>!%~&|^*/+\-.,;:()\[\]{}]+'), lambda x: trim(x) <> ''))::int as tokens,
 case when length(text) = 0 then 0 else len(string_split(text, chr(10))) end::int as lines from documents""")
 def token_and_line_count(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_count(F.col("text")).alias("tokens"), text.line_count(F.col("text")).alias("lines"))
@@ -291,7 +291,7 @@ def betweenness_small(spark, d):
     return G.betweenness(e)
 
 
-@query("select concat('<' || 'https://example.org/id/region/' || r_regionkey, '> <', 'http://www.w3.org/2000/01/rdf-schema#label', '> \"', r_name, '\" .') as line from region")
+@query(f"select concat('<{INST}region/', r_regionkey, '> <{LABEL}> \"', r_name, '\" .') as line from region")
 def ntriples_lines(spark, d):
     from loomgraph.model import from_structs, value
     from loomgraph.sources.rdf import ntriples

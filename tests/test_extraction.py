@@ -1,3 +1,4 @@
+import json
 import subprocess
 
 import pytest
@@ -113,7 +114,7 @@ def test_document_kind(spark):
 
 def test_dependencies(spark):
     rows = [
-        ("r", "package.json", '{"dependencies": {"foo": "1.0.0"}, "devDependencies": {"bar": "2.0.0"}}'), ("r", "x/composer.json", '{"require": {"php": ">=8"}}'), ("r", "requirements.txt", "# c\na==1\nb>=2,<3\nc<=4\nd~=5\n\ne"), ("r", "Gemfile", 'gem "rails", "7.0"\ngem "pg"\nsource "x"'), ("r", "go.mod", "module m\nrequire a.b/c v1.2\n"),
+        ("r", "package.json", json.dumps({"dependencies": dict(foo="1.0.0"), "devDependencies": dict(bar="2.0.0")})), ("r", "x/composer.json", '{"require": {"php": ">=8"}}'), ("r", "requirements.txt", "# c\na==1\nb>=2,<3\nc<=4\nd~=5\n\ne"), ("r", "Gemfile", 'gem "rails", "7.0"\ngem "pg"\nsource "x"'), ("r", "go.mod", "module m\nrequire a.b/c v1.2\n"),
         ("r", "Cargo.toml", '[dependencies]\nserde = "1"\n[dependencies.tokio]\n[dev-dependencies.rand]'), ("r", "broken/package.json", "{"), ("r", "other.txt", "a==1"), ("s", "package.json", '{"dependencies": {"foo": "9"}}'),
     ]
     df = spark.createDataFrame([(a, b, b.split("/")[-1], t) for a, b, t in rows], "repository string, path string, filename string, text string")

@@ -27,7 +27,7 @@ def one(spark, f, *values):
         (T.imported_names, ["import os"], ["os"]),
         (T.imported_names, ["import os as o, sys"], ["os", "sys"]),
         (T.imported_names, ["print('hello')"], []),
-        (T.complexity, ["if x: pass\nfor i in range(3): pass\ntry: pass\nexcept: pass"], 10),
+        (T.complexity, ["\n".join(x + ": pass" for x in ("if x", "for i in range(3)", "try", "except"))], 10),
         (T.complexity, [""], 1),
         (T.complexity, [None], 1),
         (T.canonical_name, ["Baz", "bar"], "Baz.bar"),
