@@ -171,8 +171,9 @@ def subtrees(pages: DataFrame) -> DataFrame:
 def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(key) of each subtree that reaches both limits on its host, from subtrees()."""
     counted = found.select("host", "key", "page").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    counted = cut(counted.where(f"key is null or n >= {int(min_pages)}"))  # used twice below, and small
     total = counted.where("key is null").select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    often = counted.where(f"key is not null and n >= {int(min_pages)}")
+    often = counted.where("key is not null")
     return often.join(total, F.col("host") == F.col("h")).where(F.col("n") >= min_share * F.col("pages")).select("key")
 
 
