@@ -1,13 +1,13 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
+"""Benchmark decontamination: windows of an item's size that hold enough of its shingles, verified exactly.
 
-For each benchmark item every window of a document with as many words as the item is a candidate. A window's SimHash
-over weighted word shingles is looked up in an index of the items' fingerprints that is cut into BLOCKS = RADIUS + 1
-blocks: two fingerprints within RADIUS agree in some block, by pigeonhole, so that the blocks' buckets hold every item
-within RADIUS. What is found there is verified by the weighted Jaccard similarity of the shingle multisets.
+For each benchmark item every window of a document with as many words as the item is a candidate. What decides is the
+weighted Jaccard similarity of the multisets of word shingles. A window is only verified if it passes a bound that loses
+nothing: a similarity of at least MIN_SIMILARITY with an item needs so much shingle weight in common that the window
+must hold a certain number of the item's shingles, heaviest first. An inverted index of the items' shingles gives the
+places of all of them in a text, and with them the pairs of window and item that reach the bound.
 
-Before a window is fingerprinted it is tested against a bound that loses nothing: a similarity of at least
-MIN_SIMILARITY with an item needs so much shingle weight in common that the window must hold a certain number of the
-item's shingles, heaviest first. An inverted index of the items' shingles gives the places of all of them in a text.
+The distance of the SimHash fingerprints is reported for each find. It isn't a condition: windows of similarity 0.6
+differ by about 15 of 64 bits on average, so that a radius that is narrow enough for an index loses most of them.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from loomgraph.llm.state import table
 from loomgraph.llm.text import lowered, mix, rows_of, shingles, slices, words_of
 
 SHINGLE = 3
-RADIUS = 11
-BLOCKS = RADIUS + 1
+#: Bits by which a find's fingerprint may differ from the item's: all of them.
+RADIUS = 64
 MIN_SIMILARITY = 0.6
 LONGEST_WEIGHT = 12
 #: Text of the benchmark, in characters, that one pass over the documents holds in memory.
@@ -65,13 +65,10 @@ def similarity(h: np.ndarray, w: np.ndarray, other: dict[int, int], weights: dic
 
 
 class Index:
-    """The items of a benchmark: their fingerprints in blocks by number of words, and their shingles with the bound."""
+    """The items of a benchmark: their fingerprints, and their shingles with the bound."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
-        self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(cuts[:-1], cuts[1:])]
         self.items: list[tuple[int, int, dict, dict]] = []
-        self.buckets: dict[tuple[int, int, int], list[int]] = {}
         sizes, least = [], []
         known: dict[int, list] = {k: [] for k in range(1, SHINGLE + 1)}
         data, offsets = lowered(pa.array([t for _, t in items], pa.large_string()))
@@ -85,8 +82,6 @@ class Index:
             values, counts = np.unique(sh, return_counts=True)
             at = len(self.items)
             self.items.append((item, fp, dict(zip(values.tolist(), counts.tolist())), dict(zip(sh.tolist(), w.tolist()))))
-            for k, (shift, mask) in enumerate(self.blocks):
-                self.buckets.setdefault((size, k, (fp >> shift) & mask), []).append(at)
             heaviest = np.cumsum(np.sort(w)[::-1])
             sizes.append(size)
             least.append(int(np.searchsorted(heaviest, MIN_SIMILARITY * w.sum() - 1e-9)) + 1)
@@ -113,7 +108,7 @@ class Index:
         return at[ok], p[ok]
 
     def windows(self, k: int, at: np.ndarray, shingle: np.ndarray, words: int) -> dict[int, set[int]]:
-        """By size the first words of the windows of a text that hold as many shingles of one item as its bound asks."""
+        """By item the first words of the windows of a text that hold as many of its shingles as its bound asks."""
         _, _, first, owner = self.known[k]
         n = first[shingle + 1] - first[shingle]
         item = owner[np.repeat(first[shingle] - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -131,22 +126,21 @@ class Index:
             p = place[s:e]
             lo, hi = p[need - 1 :] - span + 1, p[: len(p) - need + 1]
             for a, b in zip(np.maximum(lo, 0).tolist(), np.minimum(hi, max(0, words - size)).tolist()):
-                out.setdefault(size, set()).update(range(a, b + 1))
+                out.setdefault(i, set()).update(range(a, b + 1))
         return out
 
     def search(self, h: np.ndarray, length: np.ndarray, windows: dict[int, set[int]]) -> list[tuple]:
         """(item, first word, words, distance, similarity): the best window for each item, the earliest of equal ones."""
         best: dict[int, tuple] = {}
-        for size, starts in windows.items():
+        for i, starts in windows.items():
+            item, other, counts, weights = self.items[i]
+            size = int(self.size[i])
             for s in sorted(starts):
                 sh, w = weighted_shingles(h[s : s + size], length[s : s + size])
-                fp = simhash(sh, w)
-                found = {i for k, (shift, mask) in enumerate(self.blocks) for i in self.buckets.get((size, k, (fp >> shift) & mask), ())}
-                for i in found:
-                    item, other, counts, weights = self.items[i]
-                    if (distance := (fp ^ other).bit_count()) <= RADIUS and (sim := similarity(sh, w, counts, weights)) >= MIN_SIMILARITY:
-                        if item not in best or (-sim, s) < (-best[item][4], best[item][1]):
-                            best[item] = (item, s, min(size, len(h) - s), distance, sim)
+                if (sim := similarity(sh, w, counts, weights)) >= MIN_SIMILARITY and (item not in best or (-sim, s) < (-best[item][4], best[item][1])):
+                    best[item] = (item, s, min(size, len(h) - s), (simhash(sh, w) ^ other).bit_count(), sim)
+                if sim == 1:
+                    break  # no later window is better
         return list(best.values())
 
 
@@ -171,8 +165,7 @@ def _one_pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                     edge = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True]))) if len(row) else []
                     for s, e in zip(edge[:-1], edge[1:]):
                         r = int(row[s])
-                        for size, starts in index.windows(k, at[s:e] - cut[r], shingle[s:e], int(cut[r + 1] - cut[r])).items():
-                            wanted.setdefault(r, {}).setdefault(size, set()).update(starts)
+                        wanted.setdefault(r, {}).update(index.windows(k, at[s:e] - cut[r], shingle[s:e], int(cut[r + 1] - cut[r])))
                 for r, windows in wanted.items():
                     s, e = int(cut[r]), int(cut[r + 1])
                     out += [(ids[r].as_py(), *x) for x in index.search(h[s:e], (end - start)[s:e], windows)]
@@ -186,8 +179,8 @@ def _one_pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, n_words, distance, similarity): the best window of each document for each item.
 
-    A row says that the window of n_words words from first_word (from 0) has a fingerprint within RADIUS of the item's
-    and a weighted Jaccard similarity of at least MIN_SIMILARITY with it; of equally similar windows the first counts.
+    A row says that the window of n_words words from first_word (from 0) has a weighted Jaccard similarity of at least
+    MIN_SIMILARITY with the item; of equally similar windows the first counts. distance is that of the fingerprints.
     A document shorter than the item is one window. Null ids, null texts and texts without words match nothing, nor do
     null items and items without words. An item_id that occurs more than once counts once, by its best window; so does
     a doc_id within each of its rows. With an empty table on either side the result is empty. Other columns are not

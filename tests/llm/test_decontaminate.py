@@ -76,3 +76,27 @@ def test_edge_rows(spark):
     assert D.contaminated(docs.limit(0), bench).collect() == []
     assert D.contaminated(docs, bench.limit(0)).collect() == []
     assert D.drop_contaminated(docs, bench.limit(0)).count() == 7
+
+
+def test_finds_all_that_are_similar_enough(spark):
+    rng = random.Random(17)
+    items = [(i, text(rng, rng.randint(15, 59))) for i in range(40)]
+    docs = []
+    for d in range(120):
+        q = rng.choice(items)[1].split()
+        for at in rng.sample(range(len(q)), d % 5):
+            q[at] = rng.choice(WORDS)
+        docs.append((d, text(rng, rng.randint(0, 30)) + " " + " ".join(q) + " " + text(rng, rng.randint(0, 30))))
+    want = {}
+    for d, t in docs:
+        h, length = split(t)
+        for i, q in items:
+            sh, w = D.weighted_shingles(*split(q))
+            counts = {x: sh.tolist().count(x) for x in sh.tolist()}
+            n = len(q.split())
+            sims = [D.similarity(*D.weighted_shingles(h[s : s + n], length[s : s + n]), counts, dict(zip(sh.tolist(), w.tolist()))) for s in range(max(1, len(h) - n + 1))]
+            if max(sims) >= D.MIN_SIMILARITY:
+                want[d, i] = max(sims)
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+    assert sum(s < 0.75 for s in want.values()) >= 10
