@@ -1,7 +1,7 @@
 """Secret scans by structural confirmation: what looks like a key is decoded and parsed before it is reported.
 
-Confirmed are: DER keys (nested lengths that fill their parents exactly, with integers, in PEM or bare base64), OpenSSH
-keys (magic and length-prefixed fields), signed tokens (a JSON header that names an algorithm, a JSON payload, and a
+Confirmed are: DER keys (nested lengths that fill their parents exactly, with integers) and OpenSSH keys (magic and
+length-prefixed fields), in PEM or at the end of any run of base64 or hex, whatever precedes them there; signed tokens (a JSON header that names an algorithm, a JSON payload, and a
 signature of the length that the algorithm has), access key ids in base32, tokens that end in a base62 CRC-32, and
 assigned hex or base64 strings whose bytes have the length of a key and are varied enough to be one.
 """
@@ -30,11 +30,16 @@ KEY_BYTES = {16, 20, 24, 32, 48, 64}
 _SIGNATURE = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "RS256": {128, 256, 384, 512}, "RS384": {128, 256, 384, 512}, "RS512": {128, 256, 384, 512}, "PS256": {128, 256, 384, 512}, "PS384": {128, 256, 384, 512}, "PS512": {128, 256, 384, 512}, "ES256": {64}, "ES384": {96}, "ES512": {132}, "EDDSA": {64}, "NONE": {0}}
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _PEM = re.compile(r"-----BEGIN ((?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY)-----((?:[^-]|-(?!-))*)-----END \1-----")
-_JWT = re.compile(r"(?<![\w-])(eyJ[\w-]+)\.([\w-]+)\.([\w-]*)(?![\w.-])", re.ASCII)
+_JWT = re.compile(r"(?<![\w-])(eyJ[\w-]+)\.([\w-]+)\.([\w-]*)(?![\w-]|\.[\w-])", re.ASCII)
 _ACCESS = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA|AROA|AIDA)[A-Z2-7]{16}(?![A-Z0-9])")
 _CHECKED = re.compile(r"(?<![0-9A-Za-z])((?:gh[pousr]|npm)_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _ASSIGNED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|auth|credential|(?:api|access|private|secret|encryption|signing)?[_-]?key)[\"']?\s*(?:=|:|=>)\s*[\"']?([0-9a-z+/_-]{22,172}={0,2})(?![0-9a-z+/_=-])")
-_DER = re.compile(r"(?<![0-9A-Za-z+/=])MI[0-9A-Za-z+/]{60,}={0,2}")
+#: Runs that may end in a key: alphabet, where a key may begin in it (a SEQUENCE or OpenSSH's magic), padding.
+_RUNS = [
+    (re.compile(r"(?<![0-9A-Za-z+/])[0-9A-Za-z+/]{40,}"), re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXktdjEA")),
+    (re.compile(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{40,}"), re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXktdjEA")),
+    (re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{60,}"), re.compile(r"(?=30|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100)")),
+]
 
 
 def _b64(s: str, url: bool = False) -> bytes | None:
@@ -114,6 +119,37 @@ def openssh_key(data: bytes) -> str | None:
     return "openssh_private_key" if None not in rest and at == len(data) else None
 
 
+def _fills(head: bytes, size: int) -> bool:
+    """Whether head may begin an OpenSSH key or an element that takes size bytes."""
+    if head[:1] != b"\x30":
+        return int.from_bytes(head[15:19], "big") < size
+    n, k = head[1], 0
+    if n & 128:
+        k = n & 127
+        n = int.from_bytes(head[2 : 2 + k], "big")
+    return k <= 4 and 2 + k + n == size
+
+
+def encoded_keys(text: str) -> Iterator[tuple[int, str, str]]:
+    """(start, kind, key) of the DER and OpenSSH keys at the ends of runs of base64, its variant for addresses, and hex."""
+    for which, (runs, starts) in enumerate(_RUNS):
+        for run in runs.finditer(text):
+            end, pad = run.end(), 0
+            for m in starts.finditer(text, run.start(), end):
+                size = end - m.start()
+                if which == 2:
+                    decode, n = bytes.fromhex, size // 2 if size % 2 == 0 else 0
+                else:
+                    decode, n = (lambda x: _b64(x, url=which == 1)), size * 3 // 4 if size % 4 != 1 else 0
+                    pad = len(re.match("={0,2}", text[end : end + min(2, -size % 4)])[0])
+                if n < 30 or not _fills(decode(text[m.start() : m.start() + 40]) or b"\x30\x84", n):
+                    continue
+                data = decode(text[m.start() : end])
+                if data and (kind := der_key(data) or openssh_key(data)):
+                    yield m.start(), kind, text[m.start() : end + pad]
+                    break
+
+
 def signed_token(header: str, payload: str, signature: str) -> bool:
     parts = [_b64(x, url=True) for x in (header, payload, signature)]
     if None in parts:
@@ -159,9 +195,7 @@ def find_secrets(text: str) -> list[tuple[str, int, str]]:
     for m in _CHECKED.finditer(text):
         if _checksum(m[2], m[3]):
             found.append((m.start(), m[1].rstrip("_") + "_token", m[0]))
-    for m in _DER.finditer(text):
-        if (data := _b64(m[0])) and (kind := der_key(data)):
-            found.append((m.start(), kind, m[0]))
+    found += encoded_keys(text)
     for m in _ASSIGNED.finditer(text):
         value = m[1]
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
@@ -175,7 +209,7 @@ def find_secrets(text: str) -> list[tuple[str, int, str]]:
             found.append((m.start(1), kind, value))
     out: list[tuple[str, int, str]] = []
     end = -1
-    for start, kind, secret in sorted(found, key=lambda x: (x[0], -len(x[2]), x[1])):
+    for start, kind, secret in sorted(found, key=lambda x: (x[0], -len(x[2]), x[1] in ("hex_key", "base64_key"), x[1])):
         if start >= end:
             out.append((kind, start, secret))
             end = start + len(secret)

@@ -55,6 +55,33 @@ def test_confirmed_and_refuted():
         assert S.find_secrets(f"before {text} after") == [], text[:60]
 
 
+def test_keys_in_any_run():
+    rng = random.Random(4)
+    curve, ed = der(6, bytes.fromhex("2a8648ce3d030107")), der(6, bytes.fromhex("2b6570"))
+    ec = der(0x30, der(2, b"\1") + der(4, rng.randbytes(32)) + der(0xA0, curve) + der(0xA1, der(3, b"\0\4" + rng.randbytes(64))))
+    ed = der(0x30, der(2, b"\0") + der(0x30, ed) + der(4, der(4, rng.randbytes(32))))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"pub" * 9) + field(b"priv" * 30)
+    assert len(ec) == 121 and len(ed) == 48
+    for key, kind in ((rsa_like(rng), "rsa_private_key"), (ec, "ec_private_key"), (ed, "pkcs8_private_key"), (ssh, "openssh_private_key")):
+        for form in (b64(key), b64(key, True), key.hex(), key.hex().upper()):
+            for before in ("", "PRIVATE_KEY=", "key: ", 'key = "', "x/MAMI", "0x", "30"):
+                if before == "30" and form[:2] not in ("30", "6f", "6F"):
+                    continue
+                text = f"see {before}{form} after"
+                assert S.find_secrets(text) == [(kind, 4 + len(before), form)], (kind, before, form[:20])
+        for wrong in (b64(key[:-1]), b64(key + b"\0\0\0"), key.hex()[:-2], key.hex() + "00"):
+            assert S.find_secrets(f"see {wrong} after") == [], kind
+
+
+def test_token_before_a_full_stop():
+    rng = random.Random(6)
+    token = jwt(rng)
+    for text in (f"use {token}.", f"use {token}. Then", f"({token}.)", f"use {token}..."):
+        assert [(k, x) for k, _, x in S.find_secrets(text)] == [("signed_token", token)], text
+    assert S.find_secrets(f"use {token}.more") == []
+
+
 def test_table_against_brute_force(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
