@@ -1,8 +1,9 @@
-"""HTML extraction with site templates removed: block subtrees that recur across many pages of a host are deleted.
+"""HTML extraction with site templates removed: subtrees that recur across many pages of a host are deleted.
 
-Each block element's subtree is hashed from its tag, attributes, texts and children. Spark counts, for each host, on how
+Each element's subtree is hashed from its tag, attributes, texts and children. Spark counts, for each host, on how
 many different pages a subtree occurs; copies of a page, which agree in all their subtrees, count as one. Those that
-reach MIN_PAGES and MIN_SHARE of the host's pages are its template, and are cut out before the text is taken.
+reach MIN_PAGES, however many pages the host has, are its template, and are cut out before the text is taken. Inline
+elements in running text (beside text in their block) are not counted: words in bold recur without being a template.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from loomgraph.llm.state import cut, table
 from loomgraph.llm.text import slices
 
 MIN_PAGES = 5
-MIN_SHARE = 0.01
+#: Of the host's pages. 0: what recurs on many pages doesn't depend on how large the host is.
+MIN_SHARE = 0.0
 #: Most template subtrees that are broadcast, 8 bytes each; beyond it they are joined to the pages.
 BROADCAST_ROWS = 2_000_000
 
@@ -30,16 +32,19 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _SKIPPED = frozenset("script style head title noscript iframe template textarea svg".split())
 BLOCKS = frozenset("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: The page as a whole, and what has no text.
+_UNCOUNTED = _VOID | {"html", "body"}
 _BREAKS = BLOCKS | {"br", "body", "html"}
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th")}
 _SCOPES = frozenset("ul ol dl table body html div section article nav aside header footer main blockquote td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "hash")
+    __slots__ = ("tag", "key", "children", "hash", "counted")
 
     def __init__(self, tag: str, key: str):
         self.tag, self.key, self.children, self.hash = tag, key, [], 0
+        self.counted = False
 
 
 def parse(page: str) -> Node:
@@ -91,12 +96,16 @@ def parse(page: str) -> Node:
 
 
 def digest(root: Node) -> list[Node]:
-    """Hashes of all subtrees, set from the leaves up; returns the block elements, the outer ones first."""
-    order, blocks = [root], []
+    """Hashes of all subtrees, set from the leaves up; returns the elements that may be templates, the outer ones first."""
+    order, counted = [root], []
+    running = {id(root): False}
     for node in order:  # grows as it goes: no recursion, so that depth is no limit
+        inside = (running[id(node)] and node.tag not in BLOCKS) or any(isinstance(c, str) and not c.isspace() for c in node.children)
         for c in node.children:
             if not isinstance(c, str) and c.tag not in _SKIPPED:
                 order.append(c)
+                running[id(c)] = inside
+                c.counted = c.tag in BLOCKS or not (inside or c.tag in _UNCOUNTED)
     for node in reversed(order):
         parts = [node.tag, node.key]
         for c in node.children:
@@ -107,9 +116,9 @@ def digest(root: Node) -> list[Node]:
                 parts.append(f"\0{c.hash}")
         node.hash = xxhash.xxh64_intdigest("\1".join(parts)) >> 1
     for node in order:
-        if node.tag in BLOCKS:
-            blocks.append(node)
-    return blocks
+        if node.counted:
+            counted.append(node)
+    return counted
 
 
 def text_of(root: Node, gone: set[int]) -> tuple[str, int]:
@@ -124,9 +133,9 @@ def text_of(root: Node, gone: set[int]) -> tuple[str, int]:
             continue
         if x.tag in _SKIPPED:
             continue
-        if x.tag in BLOCKS and x.hash in gone:
+        if x.counted and x.hash in gone:
             cut_out += 1
-            out.append("\0")
+            out.append("\0" if x.tag in _BREAKS else " ")
             continue
         if x.tag in _BREAKS:
             out.append("\0")
@@ -149,7 +158,7 @@ def _key(host: str, h: int) -> int:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(row, host, key, page) of each different block subtree of each row of pages(row, host, html); page is a hash of
+    """(row, host, key, page) of each different counted subtree of each row of pages(row, host, html); page is a hash of
     the page's content, and a key of null stands for the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

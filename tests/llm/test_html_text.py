@@ -66,3 +66,13 @@ def test_edge_rows(spark):
     assert got[3].text is None and got[3].removed == 0 and got[4].text == "" and got[None].text == "plain" and len(got[5].text) > 900_000 and got[1].host == got[2].host == ""
     assert H.extract(df).count() == 8
     assert H.extract(df.limit(0)).collect() == []
+
+
+def test_templates_of_large_hosts_and_inline_elements_go(spark):
+    def big(i):
+        foot = "<footer>Section</footer>" if i < 6 else ""
+        return f'<p>Body <a href="/t"><b>bold</b></a> {i}</p><site-bar>Bar</site-bar><a href="/s">Share</a>{foot}'
+
+    df = spark.createDataFrame([(i, f"http://d.org/{i}", big(i)) for i in range(700)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in H.extract(df).collect()}
+    assert all((r.text, r.removed) == (f"Body bold {i}", 3 if i < 6 else 2) for i, r in got.items())
