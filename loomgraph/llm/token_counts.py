@@ -4,6 +4,10 @@ First tier: a broadcast open-addressing table of hash and length, in tokens, of
 Each task counts all its pre-tokens and hands on its CANDIDATES most frequent ones, from whose sums the table is made;
 its size is fixed. Second tier: what the table lacks is looked up in a cache of the Python worker, and encoded where that
 lacks it too. Either tier gives exact lengths; the table only saves work.
+
+The counts behind the table are approximate: pre-tokens that occur once in a slice aren't counted, a task that holds very
+many drops the rarer half, and it hands on CANDIDATES only. Texts of over LARGE bytes aren't counted for the table, and
+bypass both tiers: they are encoded whole, which gives the same numbers.
 """
 
 from __future__ import annotations
