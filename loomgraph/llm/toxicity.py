@@ -3,6 +3,11 @@
 Features: density of each lexicon category, how near hits are to a second-person pronoun, hits' local concentration,
 share of capitals and of words in capitals, rates of exclamation marks, question marks, repeated and other marks, and
 rates of obfuscated spelling (letters replaced by digits or signs, words spelled letter by letter).
+
+A hand-written lexicon knows a few words of a few languages. Two more are learned from the labelled rows, of words and
+of stems (a word's first STEM bytes): those that toxic documents hold more often than others, weighted by the smoothed
+logarithm of the odds. Their density, number, nearness to a pronoun, concentration and highest weight are features too.
+A labelled row is described by lexicons that were learned without its fold, so that it doesn't vouch for itself.
 """
 
 from __future__ import annotations
@@ -15,14 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.gbt import Boosted, fit, isotonic
-from loomgraph.llm.state import table
-from loomgraph.llm.text import lowered, rows_of, slices, string_parts, words_of
+from loomgraph.llm.state import cut, table, unused
+from loomgraph.llm.text import lowered, mix, rows_of, slices, string_parts, words_of
 
 #: Bound on the labelled rows that the classifier is fitted on: those whose doc_id has the smallest hash.
 TRAIN_ROWS = 20_000
 #: Calibrated probability from which a document is toxic.
 THRESHOLD = 0.5
 NEAR = 5
+#: Parts of the labelled rows; each is described by lexicons that are learned from the others.
+FOLDS = 5
+#: Bytes of a word that are its stem; shorter words have none.
+STEM = 4
+#: Fewest toxic documents of a learned entry, and how many standard errors its log-odds are above 0 at least.
+LEAST_TOXIC, LEAST_Z = 3, 2.0
+#: Added to each count before the odds are taken.
+SMOOTHING = 0.5
 
 LEXICON = {
     "insult": "idiot idiots moron morons loser losers clown clowns scum trash stupid pathetic worthless disgusting imbecile imbeciles cretin dimwit dumb dumbass fool freak creep pig swine vermin lowlife scumbag halfwit nitwit retard retarded coward liar garbage ugly "
@@ -32,6 +45,7 @@ LEXICON = {
 }
 SECOND_PERSON = "you your yours yourself yourselves ya u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer tú ti tus usted ustedes vosotros vuestro"
 FEATURES = [*(f"{c}_density" for c in LEXICON), "any_hits_log", "local_hits", "second_person_density", "hits_near_you", "nearness", "capital_share", "capital_words", "exclamations", "questions", "repeated_marks", "other_marks", "obfuscated_density", "spelled_density", "mixed_words", "words_log", "word_length"]
+LEARNED = [f"{kind}_{what}" for kind in ("word", "stem") for what in ("density", "weight_log", "hits_log", "near_you", "local", "highest", "surest")]
 _LEET = np.arange(256, dtype=np.uint8)
 for _a, _b in zip(b"013457@$", b"oieastas"):
     _LEET[_a] = _b
@@ -51,6 +65,8 @@ class Words:
 
 
 def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(h), dtype=bool)
     p = np.minimum(np.searchsorted(known, h), len(known) - 1)
     return known[p] == h
 
@@ -64,13 +80,81 @@ def _nearest(at: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.minimum(left, np.abs(other[np.minimum(p, len(other) - 1)] - at))
 
 
-def features(text: pa.Array, words: Words) -> np.ndarray:
+class Parsed:
+    """The words of some texts: bytes, place, hash, row and the hash of the stem, 0 where there is none."""
+
+    def __init__(self, text: pa.Array):
+        self.n = len(text)
+        self.data, self.offsets = lowered(text)
+        self.start, self.end, self.words = words_of(self.data, self.offsets)
+        self.row = rows_of(self.start, self.offsets)
+        self.count = np.bincount(self.row, minlength=self.n)
+        self.stems = np.zeros(len(self.start), np.uint64)
+        long = np.flatnonzero(self.end - self.start >= STEM)
+        head = np.zeros(len(long), np.uint64)
+        for i in range(STEM):
+            head = (head << np.uint64(8)) | self.data[self.start[long] + i].astype(np.uint64)
+        self.stems[long] = mix(head, 11) | np.uint64(1)
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.words, self.stems
+
+
+@dataclass
+class Lexicon:
+    """Learned entries: sorted hashes, their log-odds and those in standard errors."""
+
+    known: np.ndarray
+    weight: np.ndarray
+    sureness: np.ndarray
+
+
+def lexicon(known: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> Lexicon:
+    """The entries worth keeping, from sorted hashes and the numbers of toxic and clean documents that hold each."""
+    a = SMOOTHING
+    weight = np.log((toxic + a) / (n_toxic + 2 * a)) - np.log((clean + a) / (n_clean + 2 * a))
+    sureness = weight / np.sqrt(1 / (toxic + a) + 1 / (clean + a))
+    kept = (toxic >= LEAST_TOXIC) & (sureness >= LEAST_Z)
+    return Lexicon(known[kept], weight[kept], sureness[kept])
+
+
+def occurrences(p: Parsed) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words and for stems (row, hash), each pair once."""
+    out = []
+    for h in p.kinds():
+        order = np.lexsort((h, p.row))
+        row, h = p.row[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        new &= h != 0
+        out.append((row[new], h[new]))
+    return out
+
+
+def learned_features(p: Parsed, lexicons: tuple[Lexicon, Lexicon], words: Words) -> np.ndarray:
+    per_word = 100 / np.maximum(p.count, 1)
+    place = np.arange(len(p.row)) + p.row * 1000
+    you = place[_in(p.words, words.you)]
+    columns = []
+    for h, x in zip(p.kinds(), lexicons):
+        highest, surest, local = np.zeros(p.n), np.zeros(p.n), np.zeros(p.n)
+        hit = np.flatnonzero(_in(h, x.known))
+        at, row = place[hit], p.row[hit]
+        which = np.searchsorted(x.known, h[hit])
+        weight = np.bincount(row, x.weight[which], minlength=p.n)
+        close = np.bincount(row, _nearest(at, you) <= NEAR, minlength=p.n)
+        np.maximum.at(highest, row, x.weight[which])
+        np.maximum.at(surest, row, x.sureness[which])
+        np.maximum.at(local, row, np.searchsorted(at, at + 20, side="right") - np.arange(len(at)))
+        columns += [weight * per_word, np.log1p(weight), np.log1p(np.bincount(row, minlength=p.n)), close * per_word, local, highest, surest]
+    return np.stack(columns, axis=1)
+
+
+def features(text: pa.Array, words: Words, parsed: Parsed | None = None) -> np.ndarray:
     n = len(text)
     raw, raw_at = string_parts(text)
-    data, offsets = lowered(text)
-    start, end, h = words_of(data, offsets)
-    row = rows_of(start, offsets)
-    count = np.bincount(row, minlength=n)
+    p = parsed or Parsed(text)
+    data, offsets, start, end, h, row, count = p.data, p.offsets, p.start, p.end, p.words, p.row, p.count
     per_word = 100 / np.maximum(count, 1)
     length = np.maximum(np.diff(raw_at), 1)
 
@@ -139,9 +223,46 @@ class Model:
     trees: Boosted
     knots: np.ndarray
     levels: np.ndarray
+    lexicons: tuple[Lexicon, Lexicon]
 
     def score(self, text: pa.Array, words: Words) -> np.ndarray:
-        return np.interp(self.trees.raw(features(text, words)), self.knots, self.levels)
+        p = Parsed(text)
+        x = np.concatenate([features(text, words, p), learned_features(p, self.lexicons, words)], axis=1)
+        return np.interp(self.trees.raw(x), self.knots, self.levels)
+
+
+def learn_lexicons(rows: DataFrame) -> list[tuple[Lexicon, Lexicon]]:
+    """Lexicons of words and stems learned from rows(y, fold, text): for each fold those without it, then those of all.
+
+    Spark counts, for each word and stem, the documents of each fold and label that hold it; what too few toxic ones
+    hold is dropped before the rest comes to the driver, so that this is bounded by the labelled rows.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                cell = (b.column("fold").to_numpy() * 2 + b.column("y").to_numpy()).astype(np.int64)
+                for kind, (row, h) in enumerate(occurrences(Parsed(b.column("text")))):
+                    order = np.lexsort((cell[row], h))
+                    h, c = h[order], cell[row][order]
+                    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))) if len(h) else np.zeros(0, np.int64)
+                    n = np.diff(np.append(first, len(h)))
+                    yield pa.record_batch([pa.array(np.full(len(first), kind, np.int32)), pa.array(h[first].view(np.int64)), pa.array(c[first].astype(np.int32)), pa.array(n)], names=["kind", "hash", "cell", "n"])
+
+    cells = 2 * FOLDS
+    found = rows.select("y", "fold", "text").mapInArrow(run, "kind int, hash long, cell int, n long").groupBy("kind", "hash").agg(*(F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(cells)))
+    found = found.where(" + ".join(f"n{c}" for c in range(1, cells, 2)) + f" >= {LEAST_TOXIC}").toArrow()
+    totals = {r[0]: r[1] for r in rows.groupBy((F.col("fold") * 2 + F.col("y")).alias("cell")).count().collect()}
+    total = np.array([totals.get(c, 0) for c in range(cells)]).reshape(FOLDS, 2)
+    kind, h = found.column("kind").to_numpy(), found.column("hash").to_numpy().view(np.uint64)
+    n = np.stack([found.column(f"n{c}").to_numpy() for c in range(cells)], axis=1).reshape(len(h), FOLDS, 2)
+    order = np.argsort(h)
+    kind, h, n = kind[order], h[order], n[order]
+    every, out = n.sum(axis=1), []
+    for fold in [*range(FOLDS), None]:
+        own, size = (every, total.sum(axis=0)) if fold is None else (every - n[:, fold], total.sum(axis=0) - total[fold])
+        out.append(tuple(lexicon(h[kind == k], own[kind == k, 1], own[kind == k, 0], int(size[1]), int(size[0])) for k in (0, 1)))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -154,29 +275,35 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    one = cut(one.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text"))
+    lexicons = learn_lexicons(one)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def run(batches):
         words = Words()
         for whole in batches:
             for b in slices(whole, "text"):
-                x = features(b.column("text"), words).astype(np.float64)
+                p, fold = Parsed(b.column("text")), b.column("fold").to_numpy()
+                x = np.concatenate([features(b.column("text"), words, p), np.zeros((p.n, len(LEARNED)))], axis=1)
+                for f in np.unique(fold).tolist():
+                    x[fold == f, len(FEATURES) :] = learned_features(p, shared.value[f], words)[fold == f]
                 yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").toArrow()
+    got = one.mapInArrow(run, "doc_id long, y int, x array<double>").toArrow()
     ids, y = got.column("doc_id").to_numpy(), got.column("y").to_numpy().astype(float)
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, len(FEATURES)))
-    order = np.lexsort((*x.T, ids))
-    order = order[np.concatenate(([True], np.diff(ids[order]) != 0))] if len(ids) else order
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1) if len(y) else np.zeros((0, len(FEATURES) + len(LEARNED)))
+    order = np.argsort(ids)
     ids, y, x = ids[order], y[order], x[order]
     if len(y) < 8 or y.min() == y.max():
         share = min(float(y.mean()) if len(y) else 0.0, THRESHOLD - 1e-9)
-        return Model(Boosted(0.0), np.array([0.0]), np.array([share]))
+        return Model(Boosted(0.0), np.array([0.0]), np.array([share]), lexicons[-1])
     held = np.arange(len(y)) % 4 == 3
     if y[~held].min() == y[~held].max() or y[held].min() == y[held].max():
         held = np.zeros(len(y), dtype=bool)
     trees = fit(x[~held], y[~held])
     part = held if held.any() else ~held
-    return Model(trees, *isotonic(trees.raw(x[part]), y[part]))
+    return Model(trees, *isotonic(trees.raw(x[part]), y[part]), lexicons[-1])
 
 
 def scorer(model: Model, spark: SparkSession):
@@ -196,7 +323,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """(doc_id, score, toxic) of every row: the calibrated probability, and whether it reaches THRESHOLD.
 
     A null text has a null score and isn't toxic; an empty one is scored as a text without words. Repeated rows get
-    equal scores. A very long text is scored whole. Other columns are not looked at.
+    equal scores. A very long text is scored whole. Ids are integers and may be null. An empty table has no rows; what
+    empty labels do is said in train(). Other columns are not looked at.
     """
     score = scorer(train(docs, labels, id_col=id_col, text_col=text_col), docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col)).alias("score"))
@@ -204,9 +332,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the toxic ones. Null texts stay."""
+    """docs without the toxic ones, with the columns that docs has, whatever their names. Null texts stay."""
     score = scorer(train(docs, labels, id_col=id_col, text_col=text_col), docs.sparkSession)
-    return docs.withColumn("__score", score(F.col(text_col))).where(f"__score is null or __score < {THRESHOLD}").drop("__score")
+    name = unused("score", docs)
+    return docs.withColumn(name, score(F.col(text_col))).where(F.col(name).isNull() | (F.col(name) < THRESHOLD)).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,21 +25,36 @@ def test_trees_and_isotonic():
 
 
 def test_held_out_accuracy(spark, sf):
-    sf = sf.replace("0.001", "0.01")
+    """Against the labels of the rows that the model wasn't fitted on, by language."""
+    sf = sf.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").toPandas()
-    got = X.score_documents(docs, train).toPandas().merge(test, on="doc_id")
-    rude = docs.toPandas().set_index("doc_id").text.str.lower().str.contains(r"\b(?:idiot|moron|loser|clown|scum|trash|stupid|pathetic|worthless|disgusting)\b")
-    real = got.doc_id.map(rude)
-    assert real.sum() > 5
-    assert got.toxic_x[real].mean() > 0.9 and got.toxic_x[~real].mean() < 0.01
+    lang = docs.select("doc_id", "lang").toPandas()
+    got = X.score_documents(docs, train).toPandas().merge(test, on="doc_id", suffixes=("", "_label")).merge(lang, on="doc_id")
+    toxic, clean = got[got.toxic_label == 1], got[got.toxic_label == 0]
+    assert len(toxic) > 200
+    assert toxic.toxic.mean() >= 0.9 and clean.toxic.mean() <= 0.01
+    assert toxic.groupby("lang").toxic.mean().min() >= 0.7
+
+
+def test_lexicons_are_learned_without_the_rows_own_fold(spark):
+    """A word of the toxic rows of a single fold is in the lexicon of all rows and in that of no fold but the others."""
+    rows = [(int(i % 2), i // 2 % X.FOLDS, f"zorg{'' if i // 2 % X.FOLDS else ' frumblewick'}" if i % 2 else "plain") for i in range(400)]
+    found = X.learn_lexicons(spark.createDataFrame(rows, "y int, fold int, text string"))
+    everywhere, single = (int(X.hashes(w)[0]) for w in ("zorg", "frumblewick"))
+    assert all(everywhere in words.known.tolist() for words, _ in found)
+    assert [single in words.known.tolist() for words, _ in found] == [False, *[True] * X.FOLDS]
+    assert not any(int(X.hashes("plain")[0]) in words.known.tolist() for words, _ in found)
+    p = X.Parsed(pa.array(["you zorg and zorg", "nothing", None, ""]))
+    f = dict(zip(X.LEARNED, X.learned_features(p, found[-1], X.Words()).T))
+    assert f["word_near_you"].tolist() == [50, 0, 0, 0] and f["word_local"].tolist() == [2, 0, 0, 0] and f["stem_highest"][0] > 0
 
 
 def test_edge_rows(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     extra = spark.createDataFrame([(900_001, None), (None, "you idiot you moron"), (900_002, ""), (900_003, "word " * 200_000 + "idiot " * 20_000), (900_004, "x"), (900_004, "x")], "doc_id long, text string")
     mine = docs.select("doc_id", "text").union(extra)
-    mine = mine.selectExpr("*", "'a' as score", "1 as toxic", "'b' as __x")
+    mine = mine.selectExpr("*", "'a' as score", "1 as toxic", "'b' as __score", "2 as y", "3 as fold")
     got = [r for r in X.score_documents(mine, labels).collect() if r.doc_id is None or r.doc_id > 900_000]
     by = {r.doc_id: r for r in got}
     assert by[900_001].score is None and not by[900_001].toxic and not by[900_002].toxic and by[900_003].toxic and by[None].toxic and len(got) == 6
