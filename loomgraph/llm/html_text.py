@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,10 +49,17 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """A tree of a page, however malformed: unknown end tags are ignored, open elements end with their parent."""
+    """A tree of a page, however malformed: end tags of what isn't open are ignored but for p and br, open elements end with their parent."""
     root = Node("#root", "")
     stack = [root]
+    opened: Counter[str] = Counter()
     at, size = 0, len(page)
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
@@ -65,22 +73,22 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            elif tag in ("p", "br"):  # these, without a beginning, stand for an empty paragraph and for a break
+                stack[-1].children.append(Node(tag, ""))
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _SCOPES:
                     break
-        if tag in _CLOSES:
+        if any(opened[x] for x in _CLOSES.get(tag, ())):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _CLOSES[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
                     break
@@ -92,6 +100,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in _VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -191,7 +200,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     removed counts the subtrees cut out, not those within them. Scripts, styles, the head and the like have no text. A
     null page has a null text and 0 removed; an empty one has an empty text. Pages without a host are one host's.
-    Repeated rows are one page as to counting, and each has its row in the result. Other columns are not looked at.
+    Repeated rows are one page as to counting, and each has its row in the result. A very long page is parsed whole.
+    An empty table has no rows. Ids are integers and may be null. Other columns are not looked at.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     keyed = rows.withColumn("row", F.xxhash64("host", "html"))
@@ -224,7 +234,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         at = np.minimum(np.searchsorted(every, keys), max(len(every) - 1, 0)) if len(every) else []
                         gone = {h for h, k, p in zip(hashes, keys, at) if every[p] == k}
                     else:
-                        gone = {h for h, k in zip(hashes, keys) if k in set(own or ())}
+                        mine = set(own or ())
+                        gone = {h for h, k in zip(hashes, keys) if k in mine}
                     text, n = text_of(root, gone)
                     texts.append(text)
                     removed.append(n)

@@ -18,7 +18,9 @@ def rows():
 
 def test_parse_malformed():
     t, _ = H.text_of(H.parse("a<div>b<p>c<div>d</div>e</section></p>f<li>g<br>h&lt;<script>x<"), set())
-    assert t == "a\nb\nc\nd\nef\ng\nh<"
+    assert t == "a\nb\nc\nd\ne\nf\ng\nh<"
+    assert H.text_of(H.parse("<div><p>one<div>x</div>two</p>three</div>four</br>five"), set())[0] == "one\nx\ntwo\nthree\nfour\nfive"
+    assert H.text_of(H.parse("<b>" * 20_000 + "</i>" * 20_000 + "x"), set())[0] == "x"
     deep = "<div>" * 50_000 + "x"
     root = H.parse(deep)
     assert len(H.digest(root)) == 50_000 and H.text_of(root, set())[0] == "x"
