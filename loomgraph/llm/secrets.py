@@ -52,27 +52,30 @@ def _b64(s: str, url: bool = False) -> bytes | None:
         return None
 
 
-def _der(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
-    """The (tag, content) of the elements that fill data exactly, constructed ones checked down to depth 8."""
-    at, found = 0, []
-    while at < len(data):
-        if at + 2 > len(data):
-            return None
-        tag, n, at = data[at], data[at + 1], at + 2
-        if n & 128:
-            k = n & 127
-            if not 1 <= k <= 4 or at + k > len(data):
+def _der(data: bytes) -> list[tuple[int, bytes]] | None:
+    """The (tag, content) of the elements that fill data exactly, those within constructed ones checked at any depth."""
+    found = []
+    todo = [(0, len(data), True)]
+    while todo:
+        at, end, outer = todo.pop()
+        while at < end:
+            if at + 2 > end:
                 return None
-            n, at = int.from_bytes(data[at : at + k], "big"), at + k
-            if n < 128:
+            tag, n, at = data[at], data[at + 1], at + 2
+            if n & 128:
+                k = n & 127
+                if not 1 <= k <= 4 or at + k > end:
+                    return None
+                n, at = int.from_bytes(data[at : at + k], "big"), at + k
+                if n < 128:
+                    return None
+            if at + n > end:
                 return None
-        if at + n > len(data):
-            return None
-        content = data[at : at + n]
-        if tag & 32 and (depth >= 8 or _der(content, depth + 1) is None):
-            return None
-        found.append((tag, content))
-        at += n
+            if tag & 32:
+                todo.append((at, at + n, False))
+            if outer:
+                found.append((tag, data[at : at + n]))
+            at += n
     return found
 
 
@@ -115,8 +118,10 @@ def openssh_key(data: bytes) -> str | None:
     if None in fields:
         return None
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    rest = [take() for _ in range(keys + 1)] if 0 < keys < 16 else [None]
-    return "openssh_private_key" if None not in rest and at == len(data) else None
+    left = keys + 1 if keys else 0  # the public keys and one part with the private ones
+    while left and take() is not None:
+        left -= 1
+    return "openssh_private_key" if keys and not left and at == len(data) else None
 
 
 def _fills(head: bytes, size: int) -> bool:
@@ -220,8 +225,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, kind, start, length, digest) of each confirmed secret of each row.
 
     start counts characters from 0; digest is the SHA-256 of the secret, which itself is not returned. Of overlapping
-    finds the first and longest counts. Null and empty texts have none; long ones are scanned whole; repeated rows are
-    reported each; ids may be null. Other columns are not looked at.
+    finds the first and longest counts. A value that is assigned to a name such as token or key, but is no encoding of a
+    key, is only reported if it decodes to 16, 20, 24, 32, 48 or 64 bytes (KEY_BYTES), the lengths of symmetric keys and
+    digests; keys that parse may be as long and as deeply nested as they like. Null and empty texts have no secret;
+    long ones are scanned whole; repeated rows are reported each. An empty table has no rows. Ids are integers and may
+    be null. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,20 @@ def test_keys_in_any_run():
             assert S.find_secrets(f"see {wrong} after") == [], kind
 
 
+def test_depth_and_number_of_keys_are_no_limit():
+    rng = random.Random(8)
+    nested = der(5, b"")
+    for _ in range(3000):
+        nested = der(0x30, nested)
+    ed = der(6, bytes.fromhex("2b6570"))
+    deep = der(0x30, der(2, b"\0") + der(0x30, ed) + der(4, rng.randbytes(34)) + der(0xA0, nested))
+    assert S.find_secrets(f"see {b64(deep)} after") == [("pkcs8_private_key", 4, b64(deep))]
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (20).to_bytes(4, "big") + field(b"pub" * 9) * 20 + field(b"priv" * 30)
+    assert S.find_secrets(f"see {b64(ssh)} after") == [("openssh_private_key", 4, b64(ssh))]
+    assert S.openssh_key(ssh[:-1]) is None and S.openssh_key(ssh.replace((20).to_bytes(4, "big"), (2**32 - 1).to_bytes(4, "big"))) is None
+
+
 def test_token_before_a_full_stop():
     rng = random.Random(6)
     token = jwt(rng)
