@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.state import table
+from loomgraph.llm.state import table, unused
 from loomgraph.llm.text import lowered, mix, rows_of, shingles, slices, words_of
 
 SHINGLE = 3
@@ -183,8 +183,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     MIN_SIMILARITY with the item; of equally similar windows the first counts. distance is that of the fingerprints.
     A document shorter than the item is one window. Null ids, null texts and texts without words match nothing, nor do
     null items and items without words. An item_id that occurs more than once counts once, by its best window; so does
-    a doc_id within each of its rows. With an empty table on either side the result is empty. Other columns are not
-    looked at.
+    a doc_id within each of its rows. A very long text is searched whole. With an empty table on either side the result
+    is empty. Ids are integers. Other columns are not looked at.
 
     The benchmark's size is measured first. Each pass over the documents broadcasts at most PASS_CHARS characters of
     it; a larger benchmark takes several passes, whose results are disjoint by item.
@@ -203,8 +203,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a passage of the benchmark. Rows without an id or text stay."""
-    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs)
+    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.state import cut, sized, table
+from loomgraph.llm.state import cut, sized, table, unused
 from loomgraph.llm.text import lowered, mix, rows_of, slices, words_of
 
 #: Jaccard similarity from which lines match.
 NUM, DEN = 9, 10
 SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
-#: Most documents with affected lines that are broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 400_000
+#: Most affected lines, of all documents, that are broadcast; beyond it the join is shuffled.
+BROADCAST_LINES = 1_000_000
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -196,7 +196,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Lines match if the Jaccard similarity of their sets of words is at least NUM / DEN; it is of no account whether the
     earlier line is itself removed. Lines without words match nothing. Lines of rows without an id or text aren't
     looked at. Rows of equal doc_id hold the same line at the same place, neither of which is earlier. An empty table
-    has no matches. Other columns are not looked at.
+    has no matches. A very long text is read whole, and a very long line is a set like any other. Ids are integers.
+    Other columns are not looked at.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spark = docs.sparkSession
@@ -230,7 +231,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = cut(found)
     wanted = found.where("not copy").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
     wanted = cut(wanted)
-    again = plain.join(sized(wanted, wanted.count(), BROADCAST_ROWS), "doc_id").select("doc_id", "text", "lines")
+    total = wanted.agg(F.sum(F.size("lines"))).first()[0] or 0
+    again = plain.join(sized(wanted, total, BROADCAST_LINES), "doc_id").select("doc_id", "text", "lines")
     near = again.mapInArrow(with_sets, "word long, doc_id long, line int, n int, pos int, bitmap long, words binary").repartition("word").sortWithinPartitions("word", "doc_id", "line").mapInArrow(_verified, "doc_id long, line int")
     return found.where("copy").select("doc_id", "line").union(near).distinct()
 
@@ -240,13 +242,15 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A column n_chars, if there is one, gets the length of a text that changed. See repeated_lines() for the rest.
     """
-    gone = cut(repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone")))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    out = docs.join(sized(gone, gone.count(), BROADCAST_ROWS), docs[id_col].cast("long") == F.col("__doc"), "left")
-    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
+    of, lines = unused("of", docs), unused("lines", docs)
+    gone = cut(repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("line").alias(lines)))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(lines, i)), "\n")
+    total = gone.agg(F.sum(F.size(lines))).first()[0] or 0
+    out = docs.join(sized(gone, total, BROADCAST_LINES), docs[id_col].cast("long") == F.col(of), "left")
+    out = out.withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.drop("__doc", "__gone")
+        out = out.withColumn("n_chars", F.when(F.col(lines).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+    return out.drop(of, lines)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components
-from loomgraph.llm.state import cut, table
+from loomgraph.llm.state import cut, table, unused
 from loomgraph.llm.text import lowered, mix, rows_of, slices, words_of
 
 BLOCKS, BITS, TOLERANCE = 8, 16, 2
@@ -206,7 +206,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least LENGTH_RATIO of the longer one's words; groups are the connected components. Documents without words, the
     empty one included, are duplicates only of documents with the same text. Null texts and null ids belong to no
     group. A doc_id that occurs in several rows is one document as to this result: its rows stand or fall together.
-    An empty table has no groups. Other columns are not looked at.
+    A very long text is fingerprinted whole. An empty table has no groups. Ids are integers. Other columns are not
+    looked at.
     """
     fp = fingerprints(docs, id_col, text_col)
     same = Window.partitionBy("high", "low", "n_words")
@@ -221,8 +222,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are in a group but aren't its smallest doc_id. Rows without an id or text stay."""
-    gone = near_duplicate_groups(docs, id_col, text_col).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs)
+    gone = near_duplicate_groups(docs, id_col, text_col).where("doc_id <> group_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_edge_rows(spark):
     rng = random.Random(9)
     q = text(rng, 20)
     long = text(rng, 50_000) + " " + q
-    docs = spark.createDataFrame([(1, None, 0), (None, q, 0), (2, "", 1), (3, q, 1), (3, q, 1), (4, long, 1), (5, "...", 1)], "doc_id long, text string, item_id int").withColumnRenamed("item_id", "similarity")
+    docs = spark.createDataFrame([(1, None, 0), (None, q, 0), (2, "", 1), (3, q, 1), (3, q, 1), (4, long, 1), (5, "...", 1)], "doc_id long, text string, item_id int").withColumnRenamed("item_id", "similarity").selectExpr("*", "'c' as gone", "'c' as __gone", "1 as n_words")
     bench = spark.createDataFrame([(1, q), (1, q), (2, None), (3, ""), (None, q)], "item_id long, text string")
     got = D.contaminated(docs, bench).collect()
     assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(3, 1, 1.0), (3, 1, 1.0), (4, 1, 1.0)]

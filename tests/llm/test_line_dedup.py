@@ -80,7 +80,7 @@ def test_filters_lose_no_match(a, b):
 def test_edge_rows(spark):
     long = "\n".join(f"line number {i} of a very long text with words" + str(i) for i in range(3000))
     rows = [(1, None, 7), (None, "a b c", 7), (2, "", 0), (3, "\n\n", 2), (4, "!!\n!!", 5), (5, "a b c\nx\nA  B, c", 1), (6, "X\r\nnew", 6), (6, "X\r\nnew", 6), (7, long, 9), (8, long, 9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumn("line", df_lit()).withColumn("lines", df_lit())
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumns({c: df_lit() for c in ("line", "lines", "of", "__gone", "__doc", "n", "word")})
     got = found(df)
     assert {x for x in got if x[0] < 7} == {(5, 2), (6, 0)}
     assert {x for x in got if x[0] == 8} == {(8, i) for i in range(3000)}

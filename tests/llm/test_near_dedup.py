@@ -102,7 +102,7 @@ def test_streamed_anchors_equal_one_batch(spark):
 def test_edge_rows(spark):
     long = " ".join(WORDS) * 300
     rows = [(1, None, "x"), (None, "same text here", "x"), (2, "", "x"), (3, "", "x"), (4, "!!!", None), (5, "!!!", "y"), (6, "???", "y"), (7, long, "y"), (8, long, "y"), (9, "one", "z"), (9, "one", "z"), (10, "unique words only", "q")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, rep string").withColumnsRenamed({"rep": "group_id"})
+    df = spark.createDataFrame(rows, "doc_id long, text string, rep string").withColumnsRenamed({"rep": "group_id"}).selectExpr("*", "'c' as gone", "'c' as __gone", "1 as rep", "2 as size", "3 as node")
     got = {r.doc_id: r.group_id for r in S.near_duplicate_groups(df).collect()}
     assert got == {2: 2, 3: 2, 4: 4, 5: 4, 7: 7, 8: 7}
     kept = S.keep_one(df)
