@@ -70,11 +70,24 @@ def test_code_covers_and_anchors_meet():
     assert nearest.max() == 1
     at, anchors = S.anchor_lists()
     lists = lambda x: set(anchors[at[x] : at[x + 1]].tolist())
+    flips = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i in range(16) for j in range(i))]
+    # the code is linear: what holds of the blocks around one codeword, and so of a coset leader each, holds of all
+    every = np.split(anchors, at[1:-1])
+    masks = np.zeros((1 << 16, len(code) // 64), dtype=np.uint64)
+    spot = np.searchsorted(code, anchors)
+    np.bitwise_or.at(masks, (np.repeat(np.arange(1 << 16), np.diff(at)), spot // 64), np.uint64(1) << (spot % 64).astype(np.uint64))
+    assert len(every) == 1 << 16
+    for flip in flips:
+        for lo in range(0, 1 << 16, 1 << 13):
+            x = np.arange(lo, lo + (1 << 13))
+            assert (masks[x] & masks[x ^ flip]).any(axis=1).all()
+    number, partners = S.offset_partners()
     rng = random.Random(0)
-    for _ in range(300):
+    for flip in flips:
         x = rng.randrange(1 << 16)
-        y = x ^ (1 << rng.randrange(16)) ^ (1 << rng.randrange(16))
-        assert lists(x) & lists(y)
+        both = sorted(lists(x) & lists(x ^ flip))
+        asked = [int(number[x ^ flip ^ a]) in partners[number[x ^ a]] for a in both]
+        assert 1 <= sum(asked) <= 2
 
 
 def test_groups_equal_brute_force(spark):
@@ -87,6 +100,47 @@ def test_groups_equal_brute_force(spark):
     assert all(i not in got for i in range(15, 40))
 
 
+def test_anchors_taken_apart_equal_brute_force(spark, monkeypatch):
+    docs = make_docs(6)
+    high, low, n = S.fingerprint_arrays(pa.array([t for _, t in docs]))
+    monkeypatch.setattr(S, "APART", 2)
+    rng, flips = np.random.default_rng(2), []
+    for _ in range(400):
+        h, x = int(high[0]), int(low[0])
+        for b in rng.choice(128, rng.integers(0, 30), replace=False).tolist():
+            h, x = (h ^ (1 << b), x) if b < 64 else (h, x ^ (1 << (b - 64)))
+        flips.append((h, x))
+    high, low = (np.concatenate([a, np.array(b, np.uint64)]) for a, b in zip((high, low), zip(*flips)))
+    n = np.concatenate([n, rng.integers(50, 200, 400)]).astype(np.int32)
+    order = np.argsort(n, kind="stable")
+    high, low, n = high[order], low[order], n[order]
+    ids, at = np.arange(len(n)), S.anchor_lists()
+    edges: list = []
+    for k in range(S.BLOCKS):
+        block = ((high if k < 4 else low) >> np.uint64(16 * (k % 4))).astype(np.int64) & 0xFFFF
+        row = np.repeat(ids, np.diff(at[0])[block])
+        anchor = np.concatenate([at[1][at[0][b] : at[0][b + 1]] for b in block.tolist()])
+        for a in np.unique(anchor).tolist():
+            r = row[anchor == a]
+            for fresh in (0, len(r) // 2):  # as one batch, and as a second that follows half of the rows
+                if fresh:
+                    S._spanning(high[r[:fresh]], low[r[:fresh]], n[r[:fresh]], r[:fresh], 0, edges, (k << 16) | a)
+                S._spanning(high[r], low[r], n[r], r, fresh, edges if fresh else [], (k << 16) | a)
+
+    def groups(pairs):
+        label = list(range(len(n)))
+        for _ in range(len(n)):
+            before = list(label)
+            for u, v in pairs:
+                label[u] = label[v] = min(label[u], label[v])
+            if label == before:
+                return label
+
+    dist = np.bitwise_count(high[:, None] ^ high[None, :]) + np.bitwise_count(low[:, None] ^ low[None, :])
+    want = (dist <= S.RADIUS) & (np.minimum.outer(n, n) >= S.LENGTH_RATIO * np.maximum.outer(n, n) - 1e-9)
+    assert groups(edges) == groups(np.argwhere(want).tolist())
+
+
 def test_streamed_anchors_equal_one_batch(spark):
     docs = make_docs(4)
     df = spark.createDataFrame(docs, "doc_id long, text string")
