@@ -34,7 +34,7 @@ RADIUS = BLOCKS * (TOLERANCE + 1) - 1
 LENGTH_RATIO = 0.8
 LONGEST_WEIGHT = 12
 #: Rows of an anchor from which it pays to take them apart by offset; the result is the same.
-APART = 4096
+APART = 16_384
 
 
 def fingerprint_arrays(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,8 +189,9 @@ def _candidates(high: np.ndarray, low: np.ndarray, top: np.ndarray, fresh: int,
             continue
         others = np.sort(np.concatenate([groups[x] for x in partners[g]])) if len(partners[g]) else np.zeros(0, np.int64)
         others = others[np.searchsorted(others, fresh) :]  # the later of two rows is a fresh one
-        for a in range(0, len(rows), step):
-            part = rows[a : a + step]
+        narrow = max(8, min(step, len(rows) // 24))  # of like length, so that the window of the others is narrow
+        for a in range(0, len(rows), narrow):
+            part = rows[a : a + narrow]
             lo, hi = np.searchsorted(others, (part[0], top[part[-1]]))
             for c in range(lo, hi, wide):
                 yield part, others[c : min(hi, c + wide)]
