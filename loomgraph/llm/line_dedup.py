@@ -7,7 +7,9 @@ occurs once and needs no posting.
 
 1. Postings of each line's prefix go to the words (prefix filter). Under a word, lines of equal sets collapse to the
    earliest, whose later copies are removed; the others are tested by length, position and a 64-bit parity bitmap, whose
-   distance is at most that of the sets. Lines that pass with some partner are candidates.
+   distance is at most that of the sets. Lines that pass with some partner are candidates. A line of fewer than SHORT
+   words matches equal sets only, so it goes to its set's hash instead of to a word. The postings of a word that counts
+   HOT or more are split by bands of length, of which a line is in two, so that no task gets all lines of such a word.
 2. Candidates' postings go to the words again, now with their sets, and a line is removed as soon as an earlier one
    with a Jaccard similarity of at least NUM / DEN is verified; copies in large groups so cost one verification each.
 """
@@ -28,6 +30,12 @@ from loomgraph.llm.text import lowered, mix, rows_of, slices, words_of
 NUM, DEN = 9, 10
 SKETCH_BITS = 22
 SKETCH = 1 << SKETCH_BITS
+#: Words of a line from which another set can be similar enough: one word more, or one replaced.
+SHORT = -(-NUM // (DEN - NUM))
+#: Occurrences of a word in the corpus from which its postings are split by length.
+HOT = 1 << 15
+#: Lines that match are in the same band or in adjacent ones; a little wider than need be, as logarithms are rounded.
+BAND = float(np.log(DEN / NUM) * 1.001)
 #: Most affected lines, of all documents, that are broadcast; beyond it the join is shuffled.
 BROADCAST_LINES = 1_000_000
 
@@ -89,14 +97,25 @@ class Lines:
         else:
             self.set_hash = self.bitmap = np.zeros(0, np.uint64)
 
-    def prefix(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(line, position) of each posting of the chosen lines; words that occur once have none."""
+    def prefix(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, position, key) of each posting of the chosen lines; words that occur once have none."""
         n = self.size[chosen]
         p = n - -(-n * NUM // DEN) + 1
         at = np.repeat(chosen, p)
         position = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-        shared = (self.rank[self.first[at] + position] >> np.uint64(56)) > 0
-        return at[shared], position[shared]
+        rank = self.rank[self.first[at] + position]
+        count = rank >> np.uint64(56)
+        at, position, rank, count = at[count > 0], position[count > 0], rank[count > 0], count[count > 0]
+        short = self.size[at] < SHORT
+        key = np.where(short, mix(self.set_hash[at], 8), mix(rank, 9))
+        hot = np.flatnonzero((count >= np.uint64(8 * np.log2(HOT))) & ~short)
+        if len(hot):
+            band = (np.log(self.size[at[hot]]) / BAND).astype(np.uint64) + np.uint64(1)
+            with np.errstate(over="ignore"):
+                lower, upper = (mix(rank[hot] + mix(band + np.uint64(k), 10), 9) for k in (0, 1))
+            key[hot] = lower
+            at, position, key = np.append(at, at[hot]), np.append(position, position[hot]), np.append(key, upper)
+        return at, position, key
 
 
 def _passes(n1, n2, p1, p2, b1, b2) -> np.ndarray:
@@ -144,9 +163,12 @@ def _copies_and_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         keep = np.flatnonzero(~same)
         word, n, pos, bits = word[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64), bits[keep].view(np.uint64)
         marked = np.zeros(len(word), dtype=bool)
+        group = np.concatenate(([0], np.cumsum(word[1:] != word[:-1])))
         left = np.arange(len(word))
         for lag in range(1, len(word)):
             left = left[left + lag < len(word)]
+            if lag & (lag - 1) == 0:  # now and then the words go all of whose lines are marked
+                left = left[np.bincount(group, ~marked)[group[left]] > 0]
             other = left + lag
             ok = (word[left] == word[other]) & (n[left] * DEN >= n[other] * NUM)
             left, other = left[ok], other[ok]
@@ -207,9 +229,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for whole in batches:
             for b in slices(whole, "text"):
                 x = Lines(b.column("text"), shared.value)
-                at, position = x.prefix(np.arange(len(x.first)))
+                at, position, key = x.prefix(np.arange(len(x.first)))
                 doc = b.column("doc_id").to_numpy()[x.row]
-                cols = (x.rank[x.first[at] + position].view(np.int64), doc[at], x.number[at].astype(np.int32), x.size[at].astype(np.int32), position.astype(np.int32), x.set_hash[at].view(np.int64), x.bitmap[at].view(np.int64))
+                cols = (key.view(np.int64), doc[at], x.number[at].astype(np.int32), x.size[at].astype(np.int32), position.astype(np.int32), x.set_hash[at].view(np.int64), x.bitmap[at].view(np.int64))
                 yield pa.record_batch([pa.array(c) for c in cols], names=["word", "doc_id", "line", "n", "pos", "set_hash", "bitmap"])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +242,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy()))
                 pairs = (rows.astype(np.int64) << 32) | wanted.flatten().to_numpy()
                 chosen = np.flatnonzero(np.isin((x.row.astype(np.int64) << 32) | x.number, pairs))
-                at, position = x.prefix(chosen)
+                at, position, key = x.prefix(chosen)
                 doc = b.column("doc_id").to_numpy()[x.row]
                 sets = {k: x.rank[x.first[k] : x.first[k] + x.size[k]].tobytes() for k in chosen.tolist()}
-                cols = (x.rank[x.first[at] + position].view(np.int64), doc[at], x.number[at].astype(np.int32), x.size[at].astype(np.int32), position.astype(np.int32), x.bitmap[at].view(np.int64))
+                cols = (key.view(np.int64), doc[at], x.number[at].astype(np.int32), x.size[at].astype(np.int32), position.astype(np.int32), x.bitmap[at].view(np.int64))
                 yield pa.record_batch([*(pa.array(c) for c in cols), pa.array([sets[k] for k in at.tolist()], pa.binary())], names=["word", "doc_id", "line", "n", "pos", "bitmap", "words"])
 
     order = ["word", "n", "set_hash", "doc_id", "line"]

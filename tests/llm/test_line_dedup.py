@@ -50,6 +50,12 @@ def test_equals_brute_force(spark):
         assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_hot_words_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT", 2)
+    rows = corpus(5)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_small_batches_equal_brute_force(spark):
     rows = corpus(3)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -69,9 +75,11 @@ def test_filters_lose_no_match(a, b):
         return
     text = pa.array([" ".join(f"w{x}" for x in s) for s in (a, b)])
     x = L.Lines(text, np.full(L.SKETCH, 8, np.uint8))
-    (la, pa_), (lb, pb) = x.prefix(np.array([0])), x.prefix(np.array([1]))
-    ra, rb = x.rank[x.first[0] : x.first[0] + x.size[0]], x.rank[x.first[1] : x.first[1] + x.size[1]]
-    shared = [(i, j) for i in pa_ for j in pb if ra[i] == rb[j]]
+    for rare in (8, 250):  # a rare word, and a hot one, whose postings are split by length
+        x = L.Lines(text, np.full(L.SKETCH, rare, np.uint8))
+        (_, pa_, ka), (_, pb, kb) = x.prefix(np.array([0])), x.prefix(np.array([1]))
+        assert set(ka.tolist()) & set(kb.tolist())
+    shared = [(i, j) for i, k in zip(pa_, ka) for j, m in zip(pb, kb) if k == m]
     assert shared
     i, j = min(shared)
     assert L._passes(x.size[:1], x.size[1:], np.array([i]), np.array([j]), x.bitmap[:1], x.bitmap[1:]).all()
