@@ -65,49 +65,59 @@ def similarity(h: np.ndarray, w: np.ndarray, other: dict[int, int], weights: dic
 
 
 class Index:
-    """The items of a benchmark: their fingerprints, and their shingles with the bound."""
+    """The items of a benchmark as arrays: sizes, bounds, and their shingles by item and by value."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items: list[tuple[int, int, dict, dict]] = []
-        sizes, least = [], []
-        known: dict[int, list] = {k: [] for k in range(1, SHINGLE + 1)}
         data, offsets = lowered(pa.array([t for _, t in items], pa.large_string()))
         start, end, h = words_of(data, offsets)
         cut = np.searchsorted(start, offsets)
-        for (item, _), a, b in zip(items, cut[:-1], cut[1:]):
-            if a == b:
-                continue
-            sh, w = weighted_shingles(h[a:b], (end - start)[a:b])
-            size, fp = int(b - a), simhash(sh, w)
-            values, counts = np.unique(sh, return_counts=True)
-            at = len(self.items)
-            self.items.append((item, fp, dict(zip(values.tolist(), counts.tolist())), dict(zip(sh.tolist(), w.tolist()))))
-            heaviest = np.cumsum(np.sort(w)[::-1])
-            sizes.append(size)
-            least.append(int(np.searchsorted(heaviest, MIN_SIMILARITY * w.sum() - 1e-9)) + 1)
-            known[min(SHINGLE, size)].append((values, np.full(len(values), at)))
-        self.size, self.least = np.array(sizes, np.int64), np.array(least, np.int64)
+        kept = np.flatnonzero(cut[1:] > cut[:-1])
+        self.ids = [items[i][0] for i in kept.tolist()]
+        first, self.size = cut[:-1][kept], (cut[1:] - cut[:-1])[kept]
+        length = np.concatenate(([0], np.cumsum(np.minimum(end - start, LONGEST_WEIGHT))))
+        owner, shingle, weight = [], [], []
+        for k in range(1, SHINGLE + 1):
+            mine = np.flatnonzero(np.minimum(self.size, SHINGLE) == k)
+            n = self.size[mine] - k + 1
+            at = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            owner.append(np.repeat(mine, n))
+            shingle.append(shingles(h, k)[at] if len(at) else np.zeros(0, np.uint64))
+            weight.append(length[at + k] - length[at])
+        owner, shingle, weight = (np.concatenate(x) for x in (owner, shingle, weight))
+        self.total = np.bincount(owner, weight, minlength=len(kept)).astype(np.int64)
+        order = np.lexsort((-weight, owner))
+        heaviest = np.cumsum(weight[order])
+        heaviest -= np.concatenate(([0], np.cumsum(self.total)))[owner[order]]
+        self.least = np.bincount(owner[order], heaviest < MIN_SIMILARITY * self.total[owner[order]] - 1e-9, minlength=len(kept)).astype(np.int64) + 1
+        order = np.lexsort((shingle, owner))
+        owner, shingle, weight = owner[order], shingle[order], weight[order]
+        new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])))) if len(owner) else np.zeros(0, np.int64)
+        self.values, self.counts, self.weights, owner = shingle[new], np.diff(np.append(new, len(shingle))), weight[new], owner[new]
+        #: the sorted shingles of item i, with their counts and weights, are those from at[i] to at[i + 1]
+        self.at = np.searchsorted(owner, np.arange(len(kept) + 1))
         #: by shingle length: a filter, the sorted shingles, and the items of each as a CSR list
         self.known: dict[int, tuple] = {}
-        for k, parts in known.items():
-            if parts:
-                values, owner = (np.concatenate(x) for x in zip(*parts))
+        for k in range(1, SHINGLE + 1):
+            mine = np.minimum(self.size[owner], SHINGLE) == k if len(owner) else np.zeros(0, bool)
+            if mine.any():
+                values, of = self.values[mine], owner[mine]
                 order = np.argsort(values, kind="stable")
                 distinct, first = np.unique(values[order], return_index=True)
                 filter_ = np.zeros(1 << 22, dtype=bool)
                 filter_[(distinct & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-                self.known[k] = (filter_, distinct, np.append(first, len(order)), owner[order])
+                self.known[k] = (np.packbits(filter_), distinct, np.append(first, len(order)), of[order])
 
     def hits(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, index of the shingle) of the shingles of length k that some item has."""
         filter_, distinct, _, _ = self.known[k]
         sh = shingles(h, k)
-        at = np.flatnonzero(filter_[(sh & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        slot = (sh & np.uint64((1 << 22) - 1)).astype(np.int64)
+        at = np.flatnonzero((filter_[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
         p = np.minimum(np.searchsorted(distinct, sh[at]), len(distinct) - 1)
         ok = distinct[p] == sh[at]
         return at[ok], p[ok]
 
-    def windows(self, k: int, at: np.ndarray, shingle: np.ndarray, words: int) -> dict[int, set[int]]:
+    def windows(self, k: int, at: np.ndarray, shingle: np.ndarray, words: int) -> dict[int, np.ndarray]:
         """By item the first words of the windows of a text that hold as many of its shingles as its bound asks."""
         _, _, first, owner = self.known[k]
         n = first[shingle + 1] - first[shingle]
@@ -115,7 +125,7 @@ class Index:
         place = np.repeat(at, n)
         order = np.lexsort((place, item))
         item, place = item[order], place[order]
-        out: dict[int, set[int]] = {}
+        out: dict[int, np.ndarray] = {}
         edge = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1], [True]))) if len(item) else []
         for s, e in zip(edge[:-1], edge[1:]):
             i = int(item[s])
@@ -124,39 +134,70 @@ class Index:
                 continue
             span = min(size, words) - k + 1  # shingles of a window
             p = place[s:e]
-            lo, hi = p[need - 1 :] - span + 1, p[: len(p) - need + 1]
-            for a, b in zip(np.maximum(lo, 0).tolist(), np.minimum(hi, max(0, words - size)).tolist()):
-                out.setdefault(i, set()).update(range(a, b + 1))
+            lo, hi = np.maximum(p[need - 1 :] - span + 1, 0), np.minimum(p[: len(p) - need + 1], max(0, words - size))
+            lo, hi = lo[lo <= hi], hi[lo <= hi]
+            if len(lo):  # both ascend: what is left is each interval's part beyond the one before
+                lo[1:] = np.maximum(lo[1:], hi[:-1] + 1)
+                length = np.maximum(hi - lo + 1, 0)
+                out[i] = np.repeat(lo - np.cumsum(length) + length, length) + np.arange(length.sum())
         return out
 
-    def search(self, h: np.ndarray, length: np.ndarray, windows: dict[int, set[int]]) -> list[tuple]:
+    def common(self, i: int, sh: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+        """The weight that item i and each window of span shingles from starts have in common, in one pass over the text.
+
+        An occurrence counts in those windows that hold it and fewer than the item's number of the same before it: those
+        that begin after the occurrence which is that many places earlier.
+        """
+        values, counts, weights = (x[self.at[i] : self.at[i + 1]] for x in (self.values, self.counts, self.weights))
+        base = int(starts[0])
+        part = sh[base : int(starts[-1]) + span]
+        which = np.minimum(np.searchsorted(values, part), len(values) - 1)
+        place = np.flatnonzero(values[which] == part)
+        place = place[np.argsort(which[place], kind="stable")]
+        which = which[place]
+        back = np.arange(len(place)) - counts[which]
+        same = (back >= 0) & (which[np.maximum(back, 0)] == which)
+        begin = np.maximum(np.where(same, place[np.maximum(back, 0)] + 1, 0), place - span + 1)
+        change = np.bincount(begin, weights[which], minlength=len(part) + 1) - np.bincount(place + 1, weights[which], minlength=len(part) + 1)
+        return np.cumsum(change)[starts - base].astype(np.int64)
+
+    def search(self, h: np.ndarray, length: np.ndarray, windows: dict[int, np.ndarray]) -> list[tuple]:
         """(item, first word, words, distance, similarity): the best window for each item, the earliest of equal ones."""
         best: dict[int, tuple] = {}
+        by_size: dict[int, tuple] = {}
         for i, starts in windows.items():
-            item, other, counts, weights = self.items[i]
-            size = int(self.size[i])
-            for s in sorted(starts):
-                sh, w = weighted_shingles(h[s : s + size], length[s : s + size])
-                if (sim := similarity(sh, w, counts, weights)) >= MIN_SIMILARITY and (item not in best or (-sim, s) < (-best[item][4], best[item][1])):
-                    best[item] = (item, s, min(size, len(h) - s), (simhash(sh, w) ^ other).bit_count(), sim)
-                if sim == 1:
-                    break  # no later window is better
+            item, size = self.ids[i], int(self.size[i])
+            k = min(SHINGLE, size)
+            if k not in by_size:
+                w = np.concatenate(([0], np.cumsum(np.minimum(length, LONGEST_WEIGHT).astype(np.int64))))
+                by_size[k] = (shingles(h, k), np.concatenate(([0], np.cumsum(w[k:] - w[:-k]))))
+            sh, total = by_size[k]
+            span = min(size, len(h)) - k + 1
+            both = self.common(i, sh, starts, span)
+            sims = both / (total[starts + span] - total[starts] + self.total[i] - both)
+            at = int(sims.argmax())
+            s, sim = int(starts[at]), float(sims[at])
+            if sim >= MIN_SIMILARITY and (item not in best or (-sim, s) < (-best[item][4], best[item][1])):
+                mine = slice(self.at[i], self.at[i + 1])
+                theirs = simhash(self.values[mine], self.weights[mine] * self.counts[mine])
+                ours = simhash(*weighted_shingles(h[s : s + size], length[s : s + size]))
+                best[item] = (item, s, min(size, len(h) - s), (ours ^ theirs).bit_count(), sim)
         return list(best.values())
 
 
 def _one_pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items))  # built once; a worker unpacks it once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = shared.value
         for whole in batches:
             out: list[tuple] = []
-            for b in slices(whole, "text") if index.items else ():
+            for b in slices(whole, "text") if index.ids else ():
                 data, offsets = lowered(b.column("text"))
                 start, end, h = words_of(data, offsets)
                 cut = np.searchsorted(start, offsets)
                 ids = b.column("doc_id")
-                wanted: dict[int, dict[int, set[int]]] = {}
+                wanted: dict[int, dict[int, np.ndarray]] = {}
                 for k in index.known:
                     at, shingle = index.hits(h, k)
                     row = rows_of(start[at], offsets)

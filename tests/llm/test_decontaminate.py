@@ -56,6 +56,16 @@ def test_equals_brute_force(spark):
     assert len(got) > 10
 
 
+def test_repetitive_texts_equal_brute_force(spark):
+    rng = random.Random(21)
+    few = ["ba", "bo", "dus"]
+    some = lambda n: " ".join(rng.choice(few) for _ in range(n))
+    items = [(i, some(rng.choice((1, 2, 3, 5, 9, 14)))) for i in range(12)] + [(12, "ba " * 8)]
+    docs = [(d, some(rng.randint(1, 60))) for d in range(40)] + [(40, "ba " * 50), (41, "ba")]
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.distance, r.similarity) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) and len(got) > 100
+
+
 def test_several_passes_give_the_same(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(D.contaminated(docs, bench).collect())
