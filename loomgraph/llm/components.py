@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops and rows with a null are ignored; repeated edges count once; roots themselves have no row. Each round is
     cut at the checkpoint folder; the number of rounds grows with the logarithm of the longest chain.
     """
-    e = edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct()
+    # each step reads its edges twice, so what they come from is cut first
+    e = cut(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
     e = cut(_small(e))
     seen = None
     while True:
@@ -39,4 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-        e = cut(_small(_large(e)))
+        e = cut(_small(cut(_large(e))))
