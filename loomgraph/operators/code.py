@@ -7,13 +7,15 @@ parameters, bases, arguments, decorators or imported names, whichever its kind h
 from __future__ import annotations
 
 import ast
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import access_modifier, canonical_name, complexity, file_line_count, is_primitive, modifiers, strip, token_count, truncate_label, uri_safe
+from loomgraph.functions.text import access_modifier, canonical_name, complexity, file_line_count, is_primitive, modifiers, token_count, truncate_label, uri_safe
 from loomgraph.model import INST, KG, from_structs, iri, link, typed, value
 
 CONSTRUCT = "repository string, path string, kind string, name string, parent string, start_line int, end_line int, raw string, type string, items array<string>"
@@ -22,14 +24,75 @@ _COLUMNS = [c.split()[0] for c in CONSTRUCT.split(", ")]
 #: By language: kind, and a pattern whose groups are name, type or base list, and parameters, by the names n, t and i.
 PATTERNS = {
     "js": [("class", r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?<n>\w+)(?:\s+extends\s+(?<t>[\w.]+))?"), ("function", r"(?m)^[ \t]*(?:export\s+)?(?:async\s+)?function\s*\*?\s*(?<n>\w+)\s*\((?<i>[^)]*)\)(?:\s*:\s*(?<t>[\w<>\[\]|]+))?"), ("interface", r"(?m)^[ \t]*(?:export\s+)?interface\s+(?<n>\w+)(?:\s+extends\s+(?<i>[\w., ]+))?"), ("enum", r"(?m)^[ \t]*(?:export\s+)?(?:const\s+)?enum\s+(?<n>\w+)"), ("import", r"(?m)^[ \t]*import\s+(?:(?<i>[\w*{}, ]+)\s+from\s+)?['\"](?<n>[^'\"]+)['\"]"), ("variable", r"(?m)^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?<n>\w+)(?:\s*:\s*(?<t>[\w<>\[\]|]+))?"), ("type", r"(?m)^[ \t]*(?:export\s+)?type\s+(?<n>\w+)\s*=\s*(?<t>[^;\n]+)")],
-    "java": [("class", r"(?m)^[ \t]*(?:(?:public|private|protected|abstract|final|static|sealed|partial|internal)\s+)*class\s+(?<n>\w+)(?:\s*(?:extends|:)\s*(?<t>[\w.]+))?(?:[^{\n]*implements\s+(?<i>[\w., ]+))?"), ("interface", r"(?m)^[ \t]*(?:(?:public|private|protected|internal)\s+)*interface\s+(?<n>\w+)(?:\s*(?:extends|:)\s*(?<i>[\w., ]+))?"), ("enum", r"(?m)^[ \t]*(?:(?:public|private|protected|internal)\s+)*enum\s+(?<n>\w+)"), ("struct", r"(?m)^[ \t]*(?:(?:public|private|internal|readonly)\s+)*struct\s+(?<n>\w+)"), ("function", r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|async|override|virtual|internal)\s+)+(?<t>[\w<>\[\],.?]+)\s+(?<n>\w+)\s*\((?<i>[^)]*)\)"), ("import", r"(?m)^[ \t]*(?:import|using)\s+(?:static\s+)?(?<n>[\w.*]+)\s*;"), ("variable", r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|readonly)\s+)+(?<t>[\w<>\[\],.?]+)\s+(?<n>\w+)\s*(?:=|;)")],
+    "java": [("class", r"(?m)^[ \t]*(?:(?:public|private|protected|abstract|final|static|sealed|partial|internal)\s+)*class\s+(?<n>\w+)(?:\s*(?:extends|:)\s*(?<t>[\w.]+))?(?:[^{\n]*implements\s+(?<i>[\w., ]+))?"), ("interface", r"(?m)^[ \t]*(?:(?:public|private|protected|internal)\s+)*interface\s+(?<n>\w+)(?:\s*(?:extends|:)\s*(?<i>[\w., ]+))?"), ("enum", r"(?m)^[ \t]*(?:(?:public|private|protected|internal)\s+)*enum\s+(?<n>\w+)"), ("struct", r"(?m)^[ \t]*(?:(?:public|private|internal|readonly)\s+)*struct\s+(?<n>\w+)"), ("function", r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|async|override|virtual|internal)\s+)*(?!(?:return|new|else|throw|case|await|yield)\b)(?<t>[\w<>\[\],.?]+)\s+(?!(?:if|for|while|switch|catch)\b)(?<n>\w+)\s*\((?<i>[^)]*)\)(?=[^;{}()=]*[{;])"), ("import", r"(?m)^[ \t]*(?:import|using)\s+(?:static\s+)?(?<n>[\w.*]+)\s*;"), ("variable", r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|readonly)\s+)+(?<t>[\w<>\[\],.?]+)\s+(?<n>\w+)\s*(?:=|;)")],
     "go": [("struct", r"(?m)^type\s+(?<n>\w+)\s+struct"), ("interface", r"(?m)^type\s+(?<n>\w+)\s+interface"), ("function", r"(?m)^func\s+(?:\([^)]*\)\s*)?(?<n>\w+)\s*\((?<i>[^)]*)\)\s*(?<t>[\w.*\[\]]+)?"), ("import", r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"(?<n>[\w./-]+)\"\s*$"), ("variable", r"(?m)^[ \t]*(?:var|const)\s+(?<n>\w+)(?:[ \t]+(?<t>[\w.*\[\]]+))?")],
     "rust": [("struct", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?struct\s+(?<n>\w+)"), ("enum", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?<n>\w+)"), ("trait", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?trait\s+(?<n>\w+)"), ("module", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?<n>\w+)"), ("function", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(?<n>\w+)[^(]*\((?<i>[^)]*)\)(?:\s*->\s*(?<t>[\w<>&:]+))?"), ("import", r"(?m)^[ \t]*use\s+(?<n>[\w:]+)")],
     "ruby": [("class", r"(?m)^[ \t]*class\s+(?<n>\w+)(?:\s*<\s*(?<t>[\w:]+))?"), ("module", r"(?m)^[ \t]*module\s+(?<n>\w+)"), ("function", r"(?m)^[ \t]*def\s+(?:self\.)?(?<n>\w+[?!]?)(?:\s*\((?<i>[^)]*)\))?"), ("import", r"(?m)^[ \t]*require(?:_relative)?\s+['\"](?<n>[^'\"]+)")],
     "php": [("class", r"(?m)^[ \t]*(?:(?:abstract|final)\s+)*class\s+(?<n>\w+)(?:\s+extends\s+(?<t>[\w\\]+))?(?:\s+implements\s+(?<i>[\w\\, ]+))?"), ("interface", r"(?m)^[ \t]*interface\s+(?<n>\w+)"), ("trait", r"(?m)^[ \t]*trait\s+(?<n>\w+)"), ("function", r"(?m)^[ \t]*(?:(?:public|private|protected|static)\s+)*function\s+(?<n>\w+)\s*\((?<i>[^)]*)\)"), ("import", r"(?m)^[ \t]*use\s+(?<n>[\w\\]+)")],
     "c": [("struct", r"(?m)^[ \t]*(?:typedef\s+)?struct\s+(?<n>\w+)"), ("enum", r"(?m)^[ \t]*(?:typedef\s+)?enum\s+(?:class\s+)?(?<n>\w+)"), ("class", r"(?m)^[ \t]*class\s+(?<n>\w+)(?:\s*:\s*(?:public|private|protected)\s+(?<t>[\w:]+))?"), ("function", r"(?m)^(?<t>[\w*&:<>]+)[ \t*&]+(?<n>\w+)\s*\((?<i>[^;{)]*)\)\s*\{"), ("import", r"(?m)^[ \t]*#\s*include\s+[<\"](?<n>[^>\"]+)")],
+    "swift": [("class", r"(?m)^[ \t]*(?:(?:public|private|open|final|internal)\s+)*class\s+(?<n>\w+)(?:\s*:\s*(?<t>\w+))?"), ("struct", r"(?m)^[ \t]*(?:(?:public|private|internal)\s+)*struct\s+(?<n>\w+)"), ("interface", r"(?m)^[ \t]*(?:(?:public|private|internal)\s+)*protocol\s+(?<n>\w+)"), ("enum", r"(?m)^[ \t]*(?:(?:public|private|indirect)\s+)*enum\s+(?<n>\w+)"), ("function", r"(?m)^[ \t]*(?:(?:public|private|static|override|internal)\s+)*func\s+(?<n>\w+)\s*\((?<i>[^)]*)\)(?:\s*->\s*(?<t>[\w<>\[\]?]+))?"), ("import", r"(?m)^import\s+(?<n>[\w.]+)"), ("variable", r"(?m)^[ \t]*(?:let|var)\s+(?<n>\w+)(?:\s*:\s*(?<t>[\w<>\[\]?]+))?")],
+    "scala": [("class", r"(?m)^[ \t]*(?:(?:abstract|case|final|sealed)\s+)*class\s+(?<n>\w+)(?:[^{\n]*?\bextends\s+(?<t>\w+))?"), ("trait", r"(?m)^[ \t]*(?:sealed\s+)?trait\s+(?<n>\w+)"), ("module", r"(?m)^[ \t]*(?:case\s+)?object\s+(?<n>\w+)"), ("function", r"(?m)^[ \t]*(?:(?:override|private|protected)\s+)*def\s+(?<n>\w+)(?:\s*\((?<i>[^)]*)\))?(?:\s*:\s*(?<t>[\w\[\]]+))?"), ("import", r"(?m)^[ \t]*import\s+(?<n>[\w.]+)"), ("variable", r"(?m)^[ \t]*va[lr]\s+(?<n>\w+)(?:\s*:\s*(?<t>[\w\[\]]+))?")],
+    "lua": [("function", r"(?m)^[ \t]*(?:local\s+)?function\s+(?<n>[\w.:]+)\s*\((?<i>[^)]*)\)"), ("variable", r"(?m)^[ \t]*local\s+(?<n>\w+)\s*="), ("import", r"(?m)\brequire\s*\(?\s*['\"](?<n>[^'\"]+)")],
+    "bash": [("function", r"(?m)^[ \t]*(?:function\s+)?(?<n>[\w-]+)\s*\(\)"), ("variable", r"(?m)^[ \t]*(?:export\s+|local\s+|readonly\s+)*(?<n>[A-Za-z_]\w*)="), ("import", r"(?m)^[ \t]*(?:source|\.)\s+(?<n>\S+)")],
+    "css": [("class", r"(?m)^[ \t]*\.(?<n>[\w-]+)[^;{}]*(?=\{)"), ("function", r"(?m)^[ \t]*@(?:mixin|function)\s+(?<n>[\w-]+)(?:\s*\((?<i>[^)]*)\))?"), ("variable", r"(?m)^[ \t]*(?<n>(?:--|\$)[\w-]+)\s*:"), ("import", r"(?m)^[ \t]*@(?:import|use)\s+(?:url\()?['\"](?<n>[^'\"]+)")],
+    "html": [("import", r"<(?:script|link|img|iframe)\b[^>]*?\b(?:src|href)\s*=\s*['\"](?<n>[^'\"]+)"), ("variable", r"<\w+\b[^>]*?\bid\s*=\s*['\"](?<n>[^'\"]+)")],
 }
-FAMILY = {e: f for f, es in (("js", ".js .mjs .jsx .ts .tsx"), ("java", ".java .cs .kt"), ("go", ".go"), ("rust", ".rs"), ("ruby", ".rb"), ("php", ".php"), ("c", ".c .h .cpp")) for e in es.split()}
+FAMILY = {e: f for f, es in (("js", ".js .mjs .jsx .ts .tsx"), ("java", ".java .cs .kt"), ("go", ".go"), ("rust", ".rs"), ("ruby", ".rb"), ("php", ".php"), ("c", ".c .h .cpp"), ("swift", ".swift"), ("scala", ".scala"), ("lua", ".lua"), ("bash", ".sh .bash"), ("css", ".css .scss"), ("html", ".html .htm")) for e in es.split()}
+_READ = {f: [(kind, re.compile(re.sub(r"\(\?<([nti])>", r"(?P<\1>", p), re.ASCII)) for kind, p in patterns] for f, patterns in PATTERNS.items()}
+#: Kinds that have a body, and those of them that may hold others.
+_BODIED = frozenset("class function interface struct enum trait module".split())
+_HOLDS = _BODIED - {"function"}
+#: What is skipped while braces are matched: comments and strings. In these languages # begins a comment, too.
+_SKIP = r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|"
+_BRACES = {False: re.compile(_SKIP + r"[{};]", re.S), True: re.compile(_SKIP + r"(?<!\$)#[^\n]*|[{};]", re.S)}
+_BY_INDENT = frozenset(("ruby", "lua"))
+
+
+def body_end(text: str, start: int, at: int, family: str) -> int:
+    """Where the construct ends whose declaration is text[start:at]: after its matching brace or end; at if it has no body.
+
+    A body that is never closed goes to the end of the text.
+    """
+    if family in _BY_INDENT:
+        head = text.rfind("\n", 0, start) + 1
+        indent = re.match(r"[ \t]*", text[head:])[0]
+        m = re.compile(rf"^{indent}end\b", re.M).search(text, at)
+        return m.end() if m else len(text)
+    depth = 0
+    for m in _BRACES[family in ("php", "bash")].finditer(text, at):
+        if m[0] == "{":
+            depth += 1
+        elif m[0] == "}":
+            depth -= 1
+            if depth <= 0:
+                return m.end() if depth == 0 else at
+        elif m[0] == ";" and depth == 0:
+            return at
+    return len(text) if depth else at
+
+
+def pattern_constructs(text: str, family: str) -> list[tuple]:
+    """As python_constructs(), by the patterns of a family; the parent is the innermost class or the like around it."""
+    found = []
+    for kind, pattern in _READ[family]:
+        has = pattern.groupindex
+        for m in pattern.finditer(text):
+            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            end = body_end(text, start, m.end(), family) if kind in _BODIED else m.end()
+            of = lambda g: (m[g] or "").strip() or None if g in has else None  # noqa: B023, E731
+            items = [x.strip() for x in re.sub("[{}]", "", of("i") or "").split(",") if x.strip()]
+            found.append((start, end, kind, of("n"), of("t"), items))
+    found.sort(key=lambda x: (x[0], -x[1]))
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    out, around = [], []
+    for start, end, kind, name, type_, items in found:
+        while around and around[-1][0] <= start:
+            around.pop()
+        parent = around[-1][1] if around else None
+        out.append((kind, name, parent, bisect_left(breaks, start) + 1, bisect_left(breaks, max(start, end - 1)) + 1, text[start:end], type_, items))
+        if kind in _HOLDS:
+            around.append((end, name))
+    return out
 
 
 def python_constructs(code: str) -> list[tuple]:
@@ -86,40 +149,18 @@ def python_constructs(code: str) -> list[tuple]:
 def constructs(files: DataFrame) -> DataFrame:
     """Constructs of files(repository, path, extension, text).
 
-    Python is parsed; other languages are read by the patterns of their family, in the JVM. Texts that can't be parsed,
+    Python is parsed; other languages are read by the patterns of their family, and a body ends at its matching brace or,
+    in languages without them, at the end that stands as far to the right as the beginning. Texts that can't be parsed,
     null ones included, have none.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(r, p, *x) for r, p, code in zip(f["repository"], f["path"], f["text"]) for x in python_constructs(code)]
+            rows = [(r, p, *x) for r, p, e, code in zip(f["repository"], f["path"], f["extension"], f["text"]) for x in (python_constructs(code) if e == ".py" else pattern_constructs(code, FAMILY[e]))]
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    rows = files.where("text is not null")
-    out = rows.where("extension = '.py'").select("repository", "path", "text").mapInPandas(run, CONSTRUCT)
-    for family, patterns in PATTERNS.items():
-        exts = [e for e, f in FAMILY.items() if f == family]
-        here = rows.where(F.col("extension").isin(*exts))
-        found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), 0), _reader(kind, p)) for kind, p in patterns)))
-        x = F.col("x")
-        line = F.size(F.split(F.expr("substring(text, 1, locate(x.raw, text))"), "\n"))
-        out = out.union(here.select("repository", "path", "text", F.explode(found).alias("x")).select("repository", "path", x["kind"], x["name"], F.lit(None).cast("string"), line, line + F.size(F.split(x["raw"], "\n")) - 1, x["raw"], x["type"], x["items"]))
-    return out
-
-
-def _reader(kind: str, pattern: str):
-    return lambda raw: _construct(raw, kind, pattern)
-
-
-def _construct(raw: Column, kind: str, pattern: str) -> Column:
-    """A struct of what the named groups of a pattern find in a declaration."""
-    import re
-
-    names = re.findall(r"\(\?<([nti])>", pattern)
-    plain = re.sub(r"\(\?<[nti]>", "(", pattern)
-    group = lambda g: F.nullif(strip(F.regexp_extract(raw, plain, names.index(g) + 1)), F.lit("")) if g in names else F.lit(None).cast("string")
-    items = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(group("i"), F.lit("")), "[{}]", ""), ","), strip), lambda x: x != "")
-    return F.struct(F.lit(kind).alias("kind"), group("n").alias("name"), group("t").alias("type"), items.alias("items"), raw.alias("raw"))
+    rows = files.where(F.col("text").isNotNull() & F.col("extension").isin(".py", *FAMILY))
+    return rows.select("repository", "path", "extension", "text").mapInPandas(run, CONSTRUCT)
 
 
 def with_metrics(found: DataFrame) -> DataFrame:

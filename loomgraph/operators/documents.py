@@ -167,8 +167,13 @@ def comments(files: DataFrame) -> DataFrame:
         raw = F.regexp_replace(F.regexp_extract("x", pattern + "(.*)", 1), r"^\s+|\s+$", "")
         return each.select("repository", "path", raw, F.col("line") + 1, F.col("line") + 1)
 
-    block = rows.where(F.col("extension").isin(*_SLASH)).select("repository", "path", "text", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)/\*.*?\*/"), 0)).alias("x"))
-    first = F.size(F.split(F.expr("substring(text, 1, locate(x, text))"), "\n"))
+    # what lies between the comments says how many lines are before each, so that equal ones keep apart
+    pattern = r"(?s)/\*.*?\*/"
+    block = rows.where(F.col("extension").isin(*_SLASH)).select("repository", "path", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("found"))
+    breaks = lambda x: F.size(F.split(x, "\n", -1)) - 1
+    before = lambda i: F.concat(F.slice("gaps", F.lit(1), i + 1), F.slice("found", F.lit(1), i))
+    first = F.aggregate(before(F.col("i")), F.lit(1), lambda a, x: a + breaks(x))
+    block = block.select("*", F.posexplode("found").alias("i", "x"))
     body = F.regexp_replace(F.expr("substring(x, 3, length(x) - 4)"), r"^\s+|\s+$", "")
     blocks = block.select("repository", "path", body, first, first + F.size(F.split("x", "\n")) - 1)
     return python.union(lines(_SLASH, "//+")).union(blocks).union(lines(_HASH, "#+"))

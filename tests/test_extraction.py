@@ -65,6 +65,43 @@ def test_java_constructs(found):
     assert java["function", "name"].type == "String" and java["variable", "count"].type == "int" and ("import", "java.util.List") in java and ("interface", "C") in java
 
 
+BODIES = """class A {
+  // } not the end
+  int f(int x) {
+    if (x > 0) { return '}'; }
+    return x;
+  }
+}
+class B {
+  int f(int x) {
+    return x;
+  }
+}
+"""
+
+
+def test_bodies_and_lines():
+    rows = {(k, n, p): (a, b, raw) for k, n, p, a, b, raw, _, _ in code.pattern_constructs(BODIES, "java")}
+    assert rows["class", "A", None][:2] == (1, 7) and rows["function", "f", "A"][:2] == (3, 6) and rows["function", "f", "B"][:2] == (9, 11)
+    assert rows["function", "f", "A"][2].endswith("return x;\n  }")
+    see = lambda text, family: [(k, n, p, a, b) for k, n, p, a, b, *_ in code.pattern_constructs(text, family)]
+    assert see("class A\n  def f(x)\n    if x\n      1\n    end\n  end\nend\n", "ruby") == [("class", "A", None, 1, 7), ("function", "f", "A", 2, 6)]
+    assert see("f() {\n  echo '}' # }\n}\nX=1\n. lib.sh\n", "bash") == [("function", "f", None, 1, 3), ("variable", "X", None, 4, 4), ("import", "lib.sh", None, 5, 5)]
+    assert see(".a { color: red }\n@mixin m($x) {\n}\n$w: 1;\n@use 'z';\n", "css") == [("class", "a", None, 1, 1), ("function", "m", None, 2, 3), ("variable", "$w", None, 4, 4), ("import", "z", None, 5, 5)]
+    assert see("protocol P {\n  func g() -> Int\n}\nstruct S {\n}\n", "swift") == [("interface", "P", None, 1, 3), ("function", "g", "P", 2, 2), ("struct", "S", None, 4, 5)]
+    assert see("object O {\n  def f(x: Int): Int = {\n    x\n  }\n}\n", "scala") == [("module", "O", None, 1, 5), ("function", "f", "O", 2, 4)]
+    assert see("local x = require('m')\nfunction f(a)\n  return a\nend\n", "lua") == [("variable", "x", None, 1, 1), ("import", "m", None, 1, 1), ("function", "f", None, 2, 4)]
+    assert see('<script src="a.js"></script>\n<p id="top">', "html") == [("import", "a.js", None, 1, 1), ("variable", "top", None, 2, 2)]
+    assert see("interface I {\n  int f(int x);\n}", "java")[0][:5] == ("interface", "I", None, 1, 3)
+    assert see("class Open {\n  void f() {\n", "java") == [("class", "Open", None, 1, 2), ("function", "f", "Open", 2, 2)]
+
+
+def test_equal_comments_keep_apart(spark):
+    text = "/* a */ x\n/* a\nb */\ny /* a */\n"
+    got = documents.comments(spark.createDataFrame([("r", "a.js", ".js", text)], "repository string, path string, extension string, text string"))
+    assert sorted((r.raw, r.start_line, r.end_line) for r in got.collect()) == [("a", 1, 1), ("a", 4, 4), ("a\nb", 2, 3)]
+
+
 def test_relations(found):
     short = lambda df, p: {(r.s.split("/id/")[1], r.o.split("/id/")[1]) for r in df.where(F.col("p") == M.KG + p).collect()}
     i = code.inheritance(found)
@@ -74,7 +111,8 @@ def test_relations(found):
     assert short(code.tests(found), "tests") == {("r/m.py/function/test_helper", "r/m.py/function/helper")}
     assert ("r/m.py/function/helper", "r/m.py/var/X") in short(code.manipulations(found), "manipulates")
     assert ("r/m.py", "module/a.b") in short(code.module_imports(found), "imports")
-    assert code.stylings(found).count() % 2 == 0
+    styled = code.with_metrics(code.constructs(found.sparkSession.createDataFrame([("r", "s.js", ".js", "class Theme {}\nfunction paint() {\n  return new Theme();\n}\nfunction other() {}\n")], "repository string, path string, extension string, text string")))
+    assert short(code.stylings(styled), "styles") == {("r/s.js/function/paint", "r/s.js/class/Theme")}
     types = {(r.construct, r.type, r.context, r.primitive) for r in code.type_relations(found).collect()}
     assert {("X", "int", "variable_declaration", True), ("bar.a", "int", "function_parameter", True), ("bar", "str", "function_return", True), ("Foo.size", "float", "class_field", True)} <= types
     access = {(r.function, r.attribute, r.context) for r in code.access_relations(found).collect()}
