@@ -110,7 +110,10 @@ def bgp_chain(t, c):
     return A.match(t, (f"{INST}org/3", "kg:hasRepository", "?repo"), ("?repo", "kg:hasFile", "?file"), ("?file", "kg:hasCodePart", "?code")).groupBy("repo").agg(F.count("*").alias("n"))
 
 
-@query(f"select a.s as src, c.o as dst from triples a join triples b on a.o = b.s join triples c on b.o = c.s where a.p = {kg('hasRepository')} and b.p = {kg('hasFile')} and c.p = {kg('hasCodePart')} and a.s = '{INST}org/7'")
+@query(
+    f", a as materialized (select s, o from triples where p = {kg('hasRepository')} and s = '{INST}org/7'), b as materialized (select s, o from triples where p = {kg('hasFile')} and s in (select o from a)), "
+    f"c as materialized (select s, o from triples where p = {kg('hasCodePart')} and s in (select o from b)) select a.s as src, c.o as dst from a join b on a.o = b.s join c on b.o = c.s"
+)
 def path_sequence(t, c):
     e = lambda p: P.edges(t, p)
     return P.sequence(e("kg:hasRepository").where(F.col("src") == f"{INST}org/7"), e("kg:hasFile"), e("kg:hasCodePart"))

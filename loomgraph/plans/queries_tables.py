@@ -119,13 +119,23 @@ def note_cleanup(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", prose.clean_note(F.col("text")).alias("note"))
 
 
-@query()
+_EASE = """with w as (select doc_id, greatest(1, len(regexp_extract_all(text, '\\p{L}+(?:[''-]\\p{L}+)*'))) as words, greatest(1, len(regexp_extract_all(text, '[^.!?]*\\p{L}[^.!?]*'))) as sentences,
+greatest(1, len(regexp_extract_all(lower(text), '[aeiouyáéíóúàèùâêîôûäöü]+'))) as syllables from documents),
+f as (select doc_id, round(206.835::double - 1.015::double * words / sentences - 84.6::double * syllables / words, 4) as score from w)
+"""
+
+
+@query(_EASE + "select doc_id, score, case when score >= 90 then 'very easy' when score >= 80 then 'easy' when score >= 70 then 'fairly easy' when score >= 60 then 'standard' when score >= 50 then 'fairly difficult' when score >= 30 then 'difficult' else 'very difficult' end as level from f")
 def readability(spark, d):
     f = prose.flesch(F.col("text"))
     return table(spark, d, "documents").select("doc_id", f.alias("score"), prose.reading_level(f).alias("level"))
 
 
-@query()
+@query(
+    "with v(word, valence) as (values " + ", ".join(f"('{w}', {x}::double)" for w, x in sorted(prose._VALENCE.items())) + "), w as (select doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+(?:[''-]\\p{L}+)*')) as word from documents), "
+    "t as (select doc_id, sum(valence) as total from w join v using (word) group by 1), s as (select d.doc_id as id, coalesce(round(total / sqrt(total * total + 15), 4), 0.0) as score from documents d left join t using (doc_id)) "
+    "select id, score, case when score >= 0.05 then 'positive' when score <= -0.05 then 'negative' else 'neutral' end as sentiment from s"
+)
 def sentiment(spark, d):
     return prose.sentiment(table(spark, d, "documents"), "doc_id", "text")
 
@@ -283,7 +293,11 @@ def layout_clusters(spark, d):
     return G.cluster_layout(_nations(spark, d), "n_regionkey")
 
 
-@query()
+@query(
+    "with c as (select n_regionkey as r, count(*) as c from nation group by 1), t as (select 1 + (select count(*) from region) + (select count(*) from nation) as n) "
+    "select concat('n', n_nationkey) as id, 0.0::double as centrality from nation union all select concat('r', r), round((c * (c - 1) / 2.0 + c * (n - 1 - c)) / ((n - 1) * (n - 2) / 2.0), 9) from c, t "
+    "union all select 'world', round(((n - 1) * (n - 1) - (select sum((1 + c) * (1 + c)) from c)) / 2.0 / ((n - 1) * (n - 2) / 2.0), 9) from t"
+)
 def betweenness_small(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     e = n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import queries_graph, queries_tables
+from loomgraph.plans import queries_code, queries_graph, queries_tables
 
-MODULES = [queries_graph, queries_tables]
+MODULES = [queries_graph, queries_tables, queries_code]
 
 
 def queries() -> dict:
