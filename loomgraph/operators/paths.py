@@ -82,12 +82,14 @@ def transitive_closure(e: DataFrame, reflexive: bool = True, starts: DataFrame |
 def class_closure(h: DataFrame, limit: int = 200_000) -> DataFrame:
     """(sub, sup, depth), reflexive and transitive, of a class hierarchy (sub, sup).
 
-    A hierarchy of at most limit edges is closed on the driver, as hierarchies are small; a larger one by joins.
+    A hierarchy of at most limit edges, whose closure has at most ten times as many pairs, is closed on the driver, as
+    hierarchies are small; a larger, deeper or denser one by joins.
     """
     rows = h.select("sub", "sup").distinct().limit(limit + 1).collect()
     spark = h.sparkSession
+    by_joins = lambda: transitive_closure(h.select(F.col("sub").alias("src"), F.col("sup").alias("dst"))).select(F.col("src").alias("sub"), F.col("dst").alias("sup"), "depth")
     if len(rows) > limit:
-        return transitive_closure(h.select(F.col("sub").alias("src"), F.col("sup").alias("dst"))).select(F.col("src").alias("sub"), F.col("dst").alias("sup"), "depth")
+        return by_joins()
     up: dict[str, list[str]] = {}
     for a, b in rows:
         up.setdefault(a, []).append(b)
@@ -97,6 +99,8 @@ def class_closure(h: DataFrame, limit: int = 200_000) -> DataFrame:
         depth, layer, seen = 0, [start], {start}
         while layer:
             out += [(start, x, depth) for x in layer]
+            if len(out) > 10 * max(limit, 1):
+                return by_joins()
             layer = sorted({y for x in layer for y in up[x]} - seen)
             seen.update(layer)
             depth += 1
@@ -105,11 +109,12 @@ def class_closure(h: DataFrame, limit: int = 200_000) -> DataFrame:
 
 def superclass_chain(h: DataFrame, cls: str) -> list[str]:
     """cls and its superclasses to the top, by the smallest parent where there are several; stops at a cycle."""
-    parent = {r[0]: r[1] for r in h.groupBy("sub").agg(F.min("sup")).collect()}
     out = [iri(cls)]
-    while (up := parent.get(out[-1])) and up not in out:
+    while True:  # a look-up for each level, so that the hierarchy isn't collected
+        up = h.where(F.col("sub") == out[-1]).agg(F.min("sup")).first()[0]
+        if up is None or up in out:
+            return out
         out.append(up)
-    return out
 
 
 def neighbourhood(e: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

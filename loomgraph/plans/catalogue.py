@@ -97,19 +97,16 @@ def repositories(triples: DataFrame, org: str | None = None) -> DataFrame:
 
 
 def repository_rollup(triples: DataFrame) -> DataFrame:
-    """(repo, files, entities, mean_complexity, language, contributors, note): one aggregate for each figure, joined once."""
+    """(repo, files, entities, mean_complexity, language, contributors, note): what concerns files is one aggregate of one join, the rest one each."""
     repos = A.match(triples, ("?repo", TYPE, "kg:Repository")).distinct()
     files = A.match(triples, ("?repo", "kg:hasFile", "?file"))
-    per_file = files.groupBy("repo").agg(F.countDistinct("file").alias("files"))
-    code = A.natural(files, A.match(triples, ("?code", "kg:isCodePartOf", "?file")))
-    metric = A.natural(code, A.match_numeric(triples, COMPLEXITY, "c", "code"))
-    per_code = code.groupBy("repo").agg(F.countDistinct("code").alias("entities"))
-    mean = metric.groupBy("repo").agg(F.round(F.avg("c"), 6).alias("mean_complexity"))
-    ext = A.natural(files, A.match(triples, ("?file", "kg:hasExtension", "?ext"))).groupBy("repo").agg(F.min("ext").alias("ext"))
+    ext = A.match(triples, ("?file", "kg:hasExtension", "?ext")).groupBy("file").agg(F.min("ext").alias("ext"))
+    rows = files.join(ext, "file", "left").join(A.match(triples, ("?code", "kg:isCodePartOf", "?file")), "file", "left").join(A.match_numeric(triples, COMPLEXITY, "c", "code"), "code", "left")
+    of_files = rows.groupBy("repo").agg(F.countDistinct("file").alias("files"), F.countDistinct("code").alias("entities"), F.round(F.avg("c"), 6).alias("mean_complexity"), F.min("ext").alias("ext"))
     people = A.natural(A.match(triples, ("?commit", "kg:inRepository", "?repo")), A.match(triples, ("?commit", "kg:authoredBy", "?person"))).groupBy("repo").agg(F.countDistinct("person").alias("contributors"))
     notes = A.match(triples, ("?repo", NOTE, "?note")).groupBy("repo").agg(F.min("note").alias("note"))
     out = repos
-    for part in (per_file, per_code, mean, ext, people, notes):
+    for part in (of_files, people, notes):
         out = out.join(part, "repo", "left")
     return out.na.fill(0, ["files", "entities", "contributors"]).na.fill(0.0, ["mean_complexity"]).withColumn("language", language_of(F.col("ext"))).drop("ext")
 
@@ -122,10 +119,11 @@ def search(triples: DataFrame, closure: DataFrame, text: str, limit: int = 50, c
 def search_rows(triples: DataFrame, closure: DataFrame, pattern: str, limit: int, cls: str | None = None, repository: str | None = None) -> DataFrame:
     """(s, name, kind, repository, line, confidence): the first limit, by subject, of 1 to 200.
 
-    One property table stands for the optional parts of the pattern. Defaults: name Unknown, kind unknown, line 0,
-    confidence 0.5, repository Unknown.
+    Labels and notes are searched first; one property table of the subjects found stands for the optional parts of the
+    pattern. Defaults: name Unknown, kind unknown, line 0, confidence 0.5, repository Unknown.
     """
-    wide = A.property_table(triples, {TYPE: "type", LABEL: "label", NOTE: "note", "kg:belongsToRepository": "repo", "kg:startsAtLine": "line", "kg:hasConfidence": "confidence"})
+    found = triples.where(F.col("p").isin(iri(LABEL), iri(NOTE))).where(A.regex(F.col("o"), pattern)).select("s").distinct()
+    wide = A.property_table(triples.join(found, "s", "left_semi"), {TYPE: "type", LABEL: "label", NOTE: "note", "kg:belongsToRepository": "repo", "kg:startsAtLine": "line", "kg:hasConfidence": "confidence"})
     hits = wide.where("type is not null").where(A.regex(F.col("label"), pattern) | A.regex(F.col("note"), pattern))
     if cls:
         hits = hits.join(A.instances(triples, closure, cls).distinct(), "s", "left_semi")
@@ -167,10 +165,12 @@ def complexity_by_file(triples: DataFrame, most: int = 50) -> DataFrame:
     Files of the same name in different repositories count as one.
     """
     code = A.match(triples, ("?s", "kg:isCodePartOf", "?path")).select("s", F.regexp_replace("path", "^.*[/]([^/]+)$", "$1").alias("file"))
-    n = A.natural(code, A.match(triples, ("?s", TYPE, "kg:FunctionDefinition"))).groupBy("file").agg(F.count("s").alias("functions"))
-    c = A.natural(code, A.match_numeric(triples, COMPLEXITY, "c")).groupBy("file").agg(F.sum("c").alias("complexity"))
-    lines = A.natural(code, A.match_numeric(triples, "kg:hasLineCount", "l")).groupBy("file").agg(F.sum("l").alias("lines"))
-    return n.join(c, "file").join(lines, "file").orderBy(F.desc("complexity"), "file").limit(most)
+    figure = lambda rows, k, v: rows.select("s", F.lit(k).alias("figure"), v.cast("double").alias("v"))
+    figures = figure(A.match(triples, ("?s", TYPE, "kg:FunctionDefinition")), 0, F.lit(1.0))
+    figures = figures.union(figure(A.match_numeric(triples, COMPLEXITY, "c"), 1, F.col("c"))).union(figure(A.match_numeric(triples, "kg:hasLineCount", "l"), 2, F.col("l")))
+    of = lambda k: F.when(F.col("figure") == k, F.col("v"))
+    rows = A.natural(code, figures).groupBy("file").agg(F.count(of(0)).alias("functions"), F.sum(of(1)).alias("complexity"), F.sum(of(2)).alias("lines"))
+    return rows.where("functions > 0 and complexity is not null and lines is not null").orderBy(F.desc("complexity"), "file").limit(most)
 
 
 def complexity_totals(triples: DataFrame, most: int = 50) -> DataFrame:

@@ -159,9 +159,16 @@ def catalogue(ontology: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.sort_array(F.collect_set("name")).alias("names"))
 
 
-def write_store(triples: DataFrame, path: str) -> None:
-    """Parquet by predicate, so that a pattern with a constant predicate reads its folder only."""
-    triples.repartition("p").write.mode("overwrite").partitionBy("p").parquet(path)
+def write_store(triples: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """Parquet by predicate, so that a pattern with a constant predicate reads its folder only.
+
+    A predicate of more than rows_per_file triples is written by several tasks, by the hash of its subjects.
+    """
+    large = triples.groupBy("p").count().where(F.col("count") > rows_per_file).collect()  # few, as predicates are
+    parts = F.lit(1)
+    for r in large:
+        parts = F.when(F.col("p") == r[0], -(-r[1] // rows_per_file)).otherwise(parts)
+    triples.repartition("p", F.pmod(F.xxhash64("s"), parts)).write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -115,3 +115,22 @@ def test_numbered(spark):
     df = spark.range(1000).select((1000 - F.col("id")).alias("v")).repartition(7)
     got = AG.numbered(df, [F.col("v")]).collect()
     assert all(r.v == r.id for r in got) and len(got) == 1000
+
+
+def test_closure_of_a_deep_hierarchy_is_closed_by_joins(spark):
+    chain = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(8)], "sub string, sup string")
+    want = sorted(map(tuple, P.class_closure(chain).collect()))
+    assert len(want) == 45 and sorted(map(tuple, P.class_closure(chain, 8).collect())) == want == sorted(map(tuple, P.class_closure(chain, 4).collect()))
+    dense = spark.createDataFrame([(f"c{i:02}", f"c{i + 1:02}") for i in range(30)], "sub string, sup string")
+    assert P.class_closure(dense, 30).count() == 31 * 32 // 2
+    assert P.superclass_chain(chain, "c05") == ["c05", "c06", "c07", "c08"]
+
+
+def test_large_predicates_are_written_by_several_tasks(spark, tmp_path):
+    from loomgraph.sources import rdf
+
+    t = spark.createDataFrame([(f"s{i}", "p", "o") for i in range(100)] + [("s", "q", "o")], "s string, p string, o string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which puts small ones together
+    rdf.write_store(t.selectExpr("*", "'literal' as o_kind", "cast(null as string) as o_type", "cast(null as double) as o_num", "cast(null as timestamp) as o_ts"), f"{tmp_path}/s", 20)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "s" / "p=p").glob("*.parquet"))) > 1 and rdf.read_store(spark, f"{tmp_path}/s").count() == 101
