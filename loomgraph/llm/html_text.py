@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +52,7 @@ def parse(page: str) -> Node:
     """A tree of a page, however malformed: end tags of what isn't open are ignored but for p and br, open elements end with their parent."""
     root = Node("#root", "")
     stack = [root]
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, int] = defaultdict(int)
     at, size = 0, len(page)
 
     def close(k: int) -> None:
@@ -85,7 +85,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in _SCOPES:
                     break
-        if any(opened[x] for x in _CLOSES.get(tag, ())):
+        if tag in _CLOSES and any(opened[x] for x in _CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _CLOSES[tag]:
                     close(k)
