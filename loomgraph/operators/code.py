@@ -181,13 +181,15 @@ def construct_iri(file: Column, kind: Column, name: Column) -> Column:
 def construct_triples(found: DataFrame) -> DataFrame:
     """Triples of with_metrics() rows: one template for all kinds, whose parts are null, and so absent, where they don't apply."""
     file = F.concat(F.lit(INST), uri_safe(F.col("repository")), F.lit("/"), uri_safe(F.col("path")))
-    c = construct_iri(file, F.col("kind"), F.col("name"))
     cls = F.concat(F.lit(KG), F.element_at(F.create_map(*(F.lit(x) for kv in CLASS_OF.items() for x in kv)), F.col("kind")))
+    # worked out once a row, not in each part of the template
+    found = found.where("name is not null").withColumns({"file_iri": file, "construct_iri": construct_iri(file, F.col("kind"), F.col("name")), "class_iri": cls})
+    c, file, cls = F.col("construct_iri"), F.col("file_iri"), F.col("class_iri")
     code = F.col("kind").isin("function", "class", "interface", "struct", "trait", "module", "enum")
     only = lambda cond, x: F.when(cond, x)
     m = F.col("modifiers")
     return from_structs(
-        found.where("name is not null"),
+        found,
         link(c, "rdf:type", cls), value(c, "rdfs:label", truncate_label(F.col("name"))), value(c, "kg:hasSimpleName", F.col("name")), value(c, "kg:hasCanonicalName", F.nullif("canonical_name", F.lit(""))), value(c, "kg:hasSourceCodeSnippet", F.nullif("raw", F.lit(""))), link(c, "kg:isCodePartOf", file), link(file, "kg:hasCodePart", c),
         value(c, "kg:startsAtLine", F.col("start_line"), "positiveInteger"), value(c, "kg:endsAtLine", F.col("end_line"), "positiveInteger"), value(c, "kg:hasCyclomaticComplexity", only(F.col("kind") == "function", F.col("complexity")), "nonNegativeInteger"), value(c, "kg:hasTokenCount", only(code, F.col("tokens")), "nonNegativeInteger"), value(c, "kg:hasLineCount", only(code, F.col("lines")), "nonNegativeInteger"),
         value(c, "kg:hasAccessModifier", only(code, F.col("access"))), *(value(c, f"kg:{n}", only(code & m[s], F.lit("true")), "boolean") for n, s in (("isStatic", "is_static"), ("isAbstract", "is_abstract"), ("isAsynchronous", "is_async"), ("isFinal", "is_final"))),
