@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import commit_label, contributor_name, is_fix, issue_references, uri_safe
+from loomgraph.functions.text import commit_label, contributor_name, epoch_iso, is_fix, issue_references, uri_safe
 from loomgraph.model import INST, KG, from_structs, link, value
 
 COMMIT = "repo_name string, commit_hash string, commit_message string, commit_timestamp long, commit_author string, modified_files array<string>, issue_references array<string>"
@@ -29,7 +29,7 @@ def triples(commits: DataFrame) -> DataFrame:
     who = F.when(name != "", F.concat(F.lit(INST + "contributor/"), uri_safe(F.lower(name))))
     one = from_structs(
         rows, link(repo, "rdf:type", F.lit(KG + "Repository")), link(c, "rdf:type", F.lit(KG + "Commit")), link(repo, "kg:hasCommit", c), link(c, "kg:isCommitIn", repo), value(c, "rdfs:label", commit_label(F.col("commit_hash"), F.col("commit_message"))), value(c, "kg:hasCommitHash", F.col("commit_hash")),
-        value(c, "kg:hasCommitMessage", F.nullif("commit_message", F.lit(""))), value(c, "kg:committedAt", F.date_format(F.timestamp_seconds("commit_timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), "dateTime"), link(c, "kg:authoredBy", who), link(who, "kg:isAuthorOf", c), link(who, "rdf:type", F.when(who.isNotNull(), F.lit(KG + "Contributor"))), value(who, "rdfs:label", name),
+        value(c, "kg:hasCommitMessage", F.nullif("commit_message", F.lit(""))), value(c, "kg:committedAt", epoch_iso(F.col("commit_timestamp")), "dateTime"), link(c, "kg:authoredBy", who), link(who, "kg:isAuthorOf", c), link(who, "rdf:type", F.when(who.isNotNull(), F.lit(KG + "Contributor"))), value(who, "rdfs:label", name),
     )
     issue = F.concat(repo, F.lit("/issue/"), "x")
     per_issue = rows.select("*", F.explode("issue_references").alias("x"))
