@@ -11,8 +11,8 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import access_modifier, canonical_name, complexity, file_line_count, is_primitive, modifiers, token_count, truncate_label, uri_safe
@@ -20,6 +20,8 @@ from loomgraph.model import INST, KG, from_structs, iri, link, typed, value
 
 CONSTRUCT = "repository string, path string, kind string, name string, parent string, start_line int, end_line int, raw string, type string, items array<string>"
 _COLUMNS = [c.split()[0] for c in CONSTRUCT.split(", ")]
+_ARROW = [{"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[c.split()[1]] for c in CONSTRUCT.split(", ")]
+_SLICE = 1 << 22
 
 #: By language: kind, and a pattern whose groups are name, type or base list, and parameters, by the names n, t and i.
 PATTERNS = {
@@ -95,6 +97,11 @@ def pattern_constructs(text: str, family: str) -> list[tuple]:
     return out
 
 
+#: Nodes that are constructs, and values of nodes' fields below which there is none.
+_TOLD = frozenset((ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef, ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign, ast.Call))
+_LEAVES = frozenset((ast.Name, ast.Constant, ast.alias, *(t for base in (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop) for t in base.__subclasses__()), str, int, bytes, bool, float, complex, type(None), type(...)))
+
+
 def python_constructs(code: str) -> list[tuple]:
     """(kind, name, parent, start_line, end_line, raw, type, items) of a Python text; none if it doesn't parse."""
     try:
@@ -111,13 +118,24 @@ def python_constructs(code: str) -> list[tuple]:
         out.append((kind, name, parent, n.lineno, n.end_lineno, source(n), type_, items or []))
 
     def show(n: ast.AST | None) -> str | None:
-        return ast.unparse(n) if n is not None else None
+        """Source of an expression; names, names after dots and whole numbers, which most are, without a call of unparse()."""
+        if n is None:
+            return None
+        end, top = "", n
+        while type(n) is ast.Attribute:
+            end, n = "." + n.attr + end, n.value
+        if type(n) is ast.Name:
+            return n.id + end
+        return repr(n.value) if type(n) is ast.Constant and type(n.value) is int and not end else ast.unparse(top)
 
     todo: list[tuple[ast.AST, str | None, str | None]] = [(n, None, None) for n in reversed(tree.body)]
     while todo:
         n, cls, fn = todo.pop()
         inside_cls, inside_fn = cls, fn
-        if isinstance(n, ast.ClassDef):
+        kind = type(n)
+        if kind not in _TOLD:
+            pass
+        elif isinstance(n, ast.ClassDef):
             add("class", n.name, cls, n, None, [show(b) for b in n.bases])
             for d in n.decorator_list:
                 add("decorator", show(d), n.name, d)
@@ -142,7 +160,16 @@ def python_constructs(code: str) -> list[tuple]:
                     add("field" if cls and not fn else "variable", t.id, fn or cls, n, show(getattr(n, "annotation", None)))
         elif isinstance(n, ast.Call):
             add("call", show(n.func), fn or cls, n, None, [show(x) for x in n.args])
-        todo.extend((c, inside_cls, inside_fn) for c in reversed(list(ast.iter_child_nodes(n))))
+        at = len(todo)
+        for field in n._fields:
+            x = getattr(n, field, None)
+            if type(x) is list:
+                for c in x:
+                    if type(c) not in _LEAVES:
+                        todo.append((c, inside_cls, inside_fn))
+            elif type(x) not in _LEAVES:
+                todo.append((x, inside_cls, inside_fn))
+        todo[at:] = todo[:at - 1 if at else None:-1]
     return out
 
 
@@ -154,13 +181,22 @@ def constructs(files: DataFrame) -> DataFrame:
     null ones included, have none.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(r, p, *x) for r, p, e, code in zip(f["repository"], f["path"], f["extension"], f["text"]) for x in (python_constructs(code) if e == ".py" else pattern_constructs(code, FAMILY[e]))]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns: list[list] = [[] for _ in _COLUMNS]
+            size = 0
+            for r, p, e, code in zip(*(b.column(c).to_pylist() for c in ("repository", "path", "extension", "text"))):
+                for row in python_constructs(code) if e == ".py" else pattern_constructs(code, FAMILY[e]):
+                    for column, x in zip(columns, (r, p, *row)):
+                        column.append(x)
+                    size += 100 + len(row[5])
+                    if size > _SLICE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW)], _COLUMNS)
+                        columns, size = [[] for _ in _COLUMNS], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW)], _COLUMNS)
 
     rows = files.where(F.col("text").isNotNull() & F.col("extension").isin(".py", *FAMILY))
-    return rows.select("repository", "path", "extension", "text").mapInPandas(run, CONSTRUCT)
+    return rows.select("repository", "path", "extension", "text").mapInArrow(run, CONSTRUCT)
 
 
 def with_metrics(found: DataFrame) -> DataFrame:
@@ -207,9 +243,14 @@ def _file(df: DataFrame) -> Column:
 
 def inheritance(found: DataFrame) -> DataFrame:
     """extendsType and implementsInterface edges; a base that no construct of the repository declares is an external IRI."""
-    bases = found.where("kind in ('class', 'interface', 'struct')").select("repository", "path", "kind", "name", F.explode(F.when(F.col("type").isNotNull(), F.array_append("items", F.col("type"))).otherwise(F.col("items"))).alias("base"))
-    known = found.where("kind in ('class', 'interface', 'trait')").groupBy(F.col("repository").alias("r"), F.col("name").alias("base")).agg(F.min(F.struct("path", "kind")).alias("at"))
-    rows = bases.join(known, (bases.repository == known.r) & (bases.base == known.base), "left").select(bases["*"], "at")
+    bases = F.when(F.col("kind").isin("class", "interface", "struct"), F.when(F.col("type").isNotNull(), F.array_append("items", F.col("type"))).otherwise(F.col("items")))
+    declared = F.when(F.col("kind").isin("class", "interface", "trait"), F.array("name"))
+    none = F.array().cast("array<string>")
+    both = F.concat(F.transform(F.coalesce(bases, none), lambda x: F.struct(x.alias("base"), F.lit(True).alias("used"))), F.transform(F.coalesce(declared, none), lambda x: F.struct(x.alias("base"), F.lit(False).alias("used"))))
+    rows = found.where("kind in ('class', 'interface', 'struct', 'trait')").select("repository", "path", "kind", "name", F.explode(both).alias("x")).select("repository", "path", "kind", "name", "x.*")
+    # a window in place of a join, for which the files would be parsed twice
+    at = F.min(F.when(~F.col("used"), F.struct("path", "kind"))).over(Window.partitionBy("repository", "base"))
+    rows = rows.withColumn("at", F.when(F.col("base").isNotNull(), at)).where("used")
     target = F.coalesce(construct_iri(F.concat(F.lit(INST), uri_safe(F.col("repository")), F.lit("/"), uri_safe(F.col("at.path"))), F.col("at.kind"), F.col("base")), F.concat(F.lit(INST + "external/"), uri_safe(F.col("base"))))
     me = construct_iri(_file(rows), F.col("kind"), F.col("name"))
     as_interface = F.coalesce(F.col("at.kind") == "interface", F.lit(False)) & (F.col("kind") != "interface")
@@ -222,17 +263,21 @@ def inheritance(found: DataFrame) -> DataFrame:
 
 def calls(found: DataFrame) -> DataFrame:
     """callsFunction edges from a function to a function of the same file that one of its calls names."""
-    call = found.where("kind = 'call' and parent is not null").select("repository", "path", "parent", F.substring_index("name", ".", -1).alias("callee"))
-    target = found.where("kind = 'function'").select(F.col("repository").alias("r"), F.col("path").alias("p"), F.col("name").alias("callee")).distinct()
-    rows = call.join(target, (call.repository == target.r) & (call.path == target.p) & (call.callee == target.callee)).select(call["*"])
+    is_call = F.col("kind") == "call"
+    rows = found.where("(kind = 'call' and parent is not null or kind = 'function') and name is not null and repository is not null and path is not null")
+    rows = rows.select("repository", "path", F.when(is_call, F.substring_index("name", ".", -1)).otherwise(F.col("name")).alias("callee"), F.when(is_call, F.col("parent")).alias("parent"))
+    # a group in place of a join, for which the files would be parsed twice
+    rows = rows.groupBy("repository", "path", "callee").agg(F.collect_set("parent").alias("parents"), F.bool_or(F.col("parent").isNull()).alias("known")).where("known").select("repository", "path", "callee", F.explode("parents").alias("parent"))
     return _edge(rows, construct_iri(_file(rows), F.lit("function"), F.col("parent")), "kg:callsFunction", construct_iri(_file(rows), F.lit("function"), F.col("callee")), "kg:isCalledByFunctionAt")
 
 
 def declaration_usage(found: DataFrame) -> DataFrame:
     """usesDeclaration edges from a call to a variable or parameter of its file that is one of its arguments."""
-    args = found.where("kind = 'call'").select("repository", "path", F.col("name").alias("call"), F.explode("items").alias("arg"))
-    known = found.where("kind in ('variable', 'parameter', 'field')").select(F.col("repository").alias("r"), F.col("path").alias("p"), "kind", F.col("name").alias("arg")).distinct()
-    rows = args.join(known, (args.repository == known.r) & (args.path == known.p) & (args.arg == known.arg)).select(args["*"], "kind")
+    is_call = F.col("kind") == "call"
+    rows = found.where("kind in ('call', 'variable', 'parameter', 'field') and repository is not null and path is not null")
+    rows = rows.select("repository", "path", "kind", "name", F.explode(F.when(is_call, F.col("items")).otherwise(F.array("name"))).alias("arg")).where("arg is not null")
+    rows = rows.groupBy("repository", "path", "arg").agg(F.collect_set(F.when(is_call, F.col("name"))).alias("calls"), F.collect_set(F.when(~is_call, F.col("kind"))).alias("kinds"))
+    rows = rows.where(F.size("kinds") > 0).select("repository", "path", "arg", "kinds", F.explode("calls").alias("call")).select("repository", "path", "arg", "call", F.explode("kinds").alias("kind"))
     return _edge(rows, construct_iri(_file(rows), F.lit("call"), F.col("call")), "kg:usesDeclaration", construct_iri(_file(rows), F.col("kind"), F.col("arg")), "kg:isDeclarationUsedBy")
 
 
@@ -246,12 +291,12 @@ def type_relations(found: DataFrame) -> DataFrame:
 
 def access_relations(found: DataFrame) -> DataFrame:
     """(repository, path, function, attribute, context, location): what methods reach by a dot, and what functions assign."""
-    methods = found.where("kind = 'function' and parent is not null and raw is not null")
+    method, own = F.expr("kind = 'function' and parent is not null and raw is not null"), F.expr("kind = 'variable' and parent is not null")
     dotted = F.concat(F.regexp_extract_all("raw", F.lit(r"self\.(\w+)"), 1), F.regexp_extract_all("raw", F.lit(r"this\.(\w+)"), 1), F.regexp_extract_all("raw", F.lit(r"\w+\.(\w+)"), 1))
-    first = methods.select("repository", "path", F.col("name").alias("function"), F.explode(F.array_distinct(dotted)).alias("attribute"), F.lit("field_access").alias("context"), F.col("start_line").alias("location"))
-    own = found.where("kind = 'variable' and parent is not null")
-    second = own.select("repository", "path", F.col("parent").alias("function"), F.col("name").alias("attribute"), F.lit("variable_access").alias("context"), F.col("start_line").alias("location"))
-    return first.union(second).distinct()
+    one = lambda function, attribute, context: F.struct(function.alias("function"), attribute.alias("attribute"), F.lit(context).alias("context"))
+    first, second = F.transform(F.array_distinct(dotted), lambda x: one(F.col("name"), x, "field_access")), F.array(one(F.col("parent"), F.col("name"), "variable_access"))
+    rows = found.where(method | own).select("repository", "path", F.explode(F.when(method, first).otherwise(second)).alias("x"), F.col("start_line").alias("location"))
+    return rows.select("repository", "path", "x.*", "location").distinct()
 
 
 def manipulations(found: DataFrame) -> DataFrame:
@@ -265,9 +310,10 @@ def stylings(found: DataFrame) -> DataFrame:
 
 
 def _mentions(found: DataFrame, kind: str, p: str, inverse: str) -> DataFrame:
-    code = found.where("kind = 'function' and raw is not null").select("repository", "path", F.col("name").alias("function"), "raw")
-    names = found.where((F.col("kind") == kind) & (F.length("name") > 0)).select(F.col("repository").alias("r"), F.col("path").alias("p"), F.col("name").alias("target")).distinct()
-    rows = code.join(names, (code.repository == names.r) & (code.path == names.p) & code.raw.contains(names.target)).select("repository", "path", "function", "target")
+    is_code, is_name = (F.col("kind") == "function") & F.col("raw").isNotNull(), (F.col("kind") == kind) & (F.length("name") > 0)
+    rows = found.where((is_code | is_name) & F.col("repository").isNotNull() & F.col("path").isNotNull()).groupBy("repository", "path")
+    rows = rows.agg(F.collect_list(F.when(is_code, F.struct(F.col("name").alias("function"), "raw"))).alias("code"), F.collect_set(F.when(is_name, F.col("name"))).alias("names")).where(F.size("names") > 0)
+    rows = rows.select("repository", "path", "names", F.explode("code").alias("code")).select("repository", "path", F.col("code.function").alias("function"), F.explode(F.filter("names", lambda x: F.contains(F.col("code.raw"), x))).alias("target"))
     return _edge(rows, construct_iri(_file(rows), F.lit("function"), F.col("function")), p, construct_iri(_file(rows), F.lit(kind), F.col("target")), inverse)
 
 
