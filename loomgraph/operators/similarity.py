@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,86 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def top_dense(vectors: DataFrame, k: int) -> DataFrame:
+    """(i, j, score, rank): the k rows of greatest dense_cosine() to each row of vectors(id, grp, vector), of its group, the smaller j first of equal ones.
+
+    All pairs of a group are compared, a block of rows with a block of rows in a task: as products of matrices, after which
+    what comes within SLACK of the k-th best is scored again exactly. A block is 4 MB at most, and a slice of its products 16 MB.
+    Rows without group, id or vector, or with a null in it, have no score, nor have vectors of different lengths.
+    """
+    session = vectors.sparkSession
+    rows = vectors.where("id is not null and grp is not null and vector is not null and not exists(vector, x -> x is null)")
+    rows = rows.select("id", "grp", F.col("vector").cast("array<double>").alias("v"), F.size("vector").alias("d"))
+    most = F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.floor(F.lit(1 << 19) / F.greatest("d", F.lit(1))))).cast("int")
+    w = Window.partitionBy("grp", "d")
+    rows = rows.withColumns({"at": F.floor((F.row_number().over(w.orderBy("id")) - 1) / most).cast("int"), "last": F.floor((F.count("*").over(w) - 1) / most).cast("int")})
+    cells = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("last")), lambda x: F.array(F.struct(F.col("at").alias("a"), x.alias("b"), F.lit(True).alias("asks")), F.struct(x.alias("a"), F.col("at").alias("b"), F.lit(False).alias("asks"))))))
+    rows = rows.select("id", "grp", "d", "v", cells.alias("c")).select("id", "grp", "d", "v", "c.*")
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+    id_type = vectors.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        ids = table.column("id").to_numpy()
+        d = table.column("d")[0].as_py()
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), d)
+        i, j, score = _best(ids[asks], flat[asks], ids[~asks], flat[~asks], k)
+        return pa.table({"i": pa.array(i, table.schema.field("id").type), "j": pa.array(j, table.schema.field("id").type), "score": pa.array(score, pa.float64(), from_pandas=False)})
+
+    found = rows.repartition(n, "grp", "d", "a", "b").groupBy("grp", "d", "a", "b").applyInArrow(run, f"i {id_type}, j {id_type}, score double")
+    return top_similar(found, k, float("-inf"))
+
+
+#: Rows of a block at most, and how far a product of matrices may be from the exact score.
+BLOCK, SLACK = 8192, 1e-9
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of rows, summed one component after the other, as dense_cosine() does."""
+    out = np.zeros(len(x))
+    for c in range(x.shape[1]):
+        out += x[:, c] * y[:, c]
+    return out
+
+
+def _best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score) of the k best candidates for each query, and of more where scores are equal beyond rounding."""
+    with np.errstate(all="ignore"):
+        order = np.argsort(cid, kind="stable")
+        cid, c = cid[order], c[order]
+        if len(c) and c.shape[1]:
+            # of equal vectors, whose scores are equal, those of the k + 1 smallest ids are enough
+            _, same = np.unique(np.ascontiguousarray(c).view(f"V{8 * c.shape[1]}").ravel(), return_inverse=True)
+            by = np.argsort(same, kind="stable")
+            first = np.r_[True, same[by][1:] != same[by][:-1]]
+            step = first | np.r_[True, cid[by][1:] != cid[by][:-1]]
+            number = np.cumsum(step)
+            kept = np.sort(by[number - np.maximum.accumulate(np.where(first, number, 0)) <= k])
+            cid, c = cid[kept], c[kept]
+        qn, cn = np.sqrt(_dots(q, q)), np.sqrt(_dots(c, c))
+        unit, units = q / qn[:, None], (c / cn[:, None]).T
+        out = []
+        for at in range(0, len(q), most := max(1, (1 << 21) // max(len(c), 1))):
+            part = slice(at, at + most)
+            near = unit[part] @ units
+            odd = ~np.isfinite(near)
+            near[odd] = -np.inf
+            left, right = np.searchsorted(cid, qid[part], "left"), np.searchsorted(cid, qid[part], "right")
+            for r in np.nonzero(right > left)[0]:
+                near[r, left[r] : right[r]] = -np.inf
+                odd[r, left[r] : right[r]] = False
+            least = np.partition(near, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(near), -np.inf)
+            a, b = np.nonzero((near >= (least - SLACK)[:, None]) & (near > -np.inf) | odd)
+            score = _dots(q[part][a], c[b]) / (below := qn[part][a] * cn[b])
+            fine = below != 0
+            a, b, score = a[fine], b[fine], score[fine]
+            by = np.lexsort((cid[b], -np.where(np.isnan(score), np.inf, score), a))
+            a, b, score = a[by], b[by], score[by]
+            top = np.arange(len(a)) - np.searchsorted(a, a) < k
+            out.append((qid[part][a[top]], cid[b[top]], score[top]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (qid[:0], qid[:0], np.zeros(0))
+
+
 def keywords(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, word, n, rank): the k most frequent words of letters that aren't stop words; the first to occur of equal ones."""
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}_]+"), 0)
