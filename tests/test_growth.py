@@ -13,3 +13,9 @@ def plan(df):
 def test_files_are_parsed_once_and_by_many_tasks(spark, sf, name):
     p = plan(registry.queries()[name](spark, sf))
     assert p.count("MapInArrow") == 1 and "hashpartitioning(p_partkey" in p.split("MapInArrow")[1]
+
+
+@pytest.mark.parametrize("name", ["commit_issues", "commit_triples"])
+def test_commits_are_read_once_and_spread(spark, sf, name):
+    p = plan(registry.queries()[name](spark, sf))
+    assert p.count("FileScan") == 1 and p.count("Generate") == 1 and "hashpartitioning(o_orderkey" in p and p.count("Exchange") == 2
